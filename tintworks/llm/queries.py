@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, url_filters
 from .common import table
+from .quality_classifier import classify
 from .quality_rules import quality_rules
 
 
+def _held_out(doc_id):
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from the labels outside the held-out quarter."""
+    labels = table(spark, sf_dir, "labels").where(~_held_out("doc_id")).select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, labels).select("doc_id", F.coalesce(_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of 150 % of the corpus takes of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of the base and divergence rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -17,8 +36,31 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names], F.round("quality.class_distance", 9).alias("class_distance"), F.round("quality.word_distance", 9).alias("word_distance"))
 
 
+RULES = [
+    url_filters.Rule("allow", "com/"),
+    url_filters.Rule("block", "example.com/en/"),
+    url_filters.Rule("allow", "www.example.com/en/"),
+    url_filters.Rule("block", "net/es/"),
+    url_filters.Rule("block", "net/fr/"),
+]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url, by rule or by its host's reputation."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    judged = url_filters.filter_urls(pages, labels, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("bad_bound", 6).alias("bad_bound"))
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_mixing": op2_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle_sql(),
+    "op10_url_filters": url_filters.oracle_sql(RULES),
+}
