@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filters
+from . import mixing, sharding, transport_streams, url_filters
 from .common import table
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -28,6 +28,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, of 256."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.assign_shards(docs, 256)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of the base and divergence rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,6 +42,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names], F.round("quality.class_distance", 9).alias("class_distance"), F.round("quality.word_distance", 9).alias("word_distance"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as a transport stream and read back from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = transport_streams.store_media(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "media")
+    read = stored.withColumn("r", transport_streams.read_media(F.col("media")))
+    return read.select(
+        "doc_id", "n_bytes", "r.payload_bytes", "r.payload_sha256", "r.tail_crc32",
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "r.feature", "r.pts", "r.access_points",
+    )
+
+
 RULES = [
     url_filters.Rule("allow", "com/"),
     url_filters.Rule("block", "example.com/en/"),
@@ -56,7 +73,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_media_columns": op9_media_columns,
     "op10_url_filters": op10_url_filters,
 }
 
