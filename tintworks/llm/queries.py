@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, sharding, transport_streams, url_filters
 from .common import table
+from .minhash_dedup import NearDupConfig, near_duplicates
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 
@@ -34,6 +35,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, 256)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on two-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, NearDupConfig(width=2)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of the base and divergence rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -74,6 +81,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_media_columns": op9_media_columns,
     "op10_url_filters": op10_url_filters,
