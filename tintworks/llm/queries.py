@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, sharding, transport_streams, url_filters
 from .common import table
+from .line_dedup import dedup_lines
 from .minhash_dedup import NearDupConfig, near_duplicates
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -35,6 +36,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, 256)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fuzzy line dedup leaves of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("bigint").alias("kept_bytes"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on two-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +88,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_media_columns": op9_media_columns,
