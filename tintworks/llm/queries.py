@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, transport_streams, url_filters
+from . import license_scan, mixing, sentencepieces, sharding, transport_streams, url_filters
 from .common import table
 from .line_dedup import dedup_lines
 from .minhash_dedup import NearDupConfig, near_duplicates
@@ -48,6 +48,19 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, NearDupConfig(width=2)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best license template of every document, and how much of it is there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).drop("text")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of every whole text, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentencepieces.PieceModel.load(sentencepieces.default_model_path())
+    return sentencepieces.encode_pieces(docs, model).drop("text")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of the base and divergence rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -90,6 +103,8 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_media_columns": op9_media_columns,
     "op10_url_filters": op10_url_filters,
