@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -246,7 +247,7 @@ def encode_pieces(docs: DataFrame, model: PieceModel, *, text: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
-    def kernel(batches):
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(held.value)
         for column in batches:
             # slices of a batch keep Python's words few; their cache carries on
