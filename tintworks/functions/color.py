@@ -22,8 +22,16 @@ def srgb_to_linear(v, o=COLUMNS):
     return o.where(v <= 0.04045, v / 12.92, o.power((v + 0.055) / 1.055, 2.4))
 
 
+def cone_roots(rgb, o=COLUMNS):
+    return tuple(o.cbrt(x) for x in _times(RGB_TO_LMS, rgb))
+
+
+def roots_to_oklab(roots):
+    return _times(ROOTS_TO_LAB, roots)
+
+
 def linear_to_oklab(rgb, o=COLUMNS):
-    return _times(ROOTS_TO_LAB, tuple(o.cbrt(x) for x in _times(RGB_TO_LMS, rgb)))
+    return roots_to_oklab(cone_roots(rgb, o))
 
 
 def oklab_to_linear(lab):

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..config import CapBuilder, CapLookup
 from ..errors import EmptySamples
 from ..functions.backends import COLUMNS, EPS, TAU
-from ..functions.color import oklab_to_oklch
 from ..functions.numeric import clamp01, wrap_hue
 
 
@@ -31,8 +30,8 @@ def lightness_range(points: DataFrame) -> DataFrame:
 
 def cap_bins(points: DataFrame, ranges: DataFrame, config: CapBuilder) -> DataFrame:
     """(image_id, li, hi, cap): the largest chroma of each cell that has a point."""
-    _, chroma, hue = oklab_to_oklch(tuple(F.col(c) for c in "lab"))
-    polar = points.join(ranges, "image_id").select("image_id", "l", "l_min", "l_max", chroma.alias("c"), hue.alias("h"))
+    raw = points.join(ranges, "image_id").select("image_id", "l", "l_min", "l_max", F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("c"), F.atan2("b", "a").alias("angle"))
+    polar = raw.withColumn("h", wrap_hue(F.col("angle")))
     li = F.floor(clamp01((F.col("l") - F.col("l_min")) / F.greatest(F.col("l_max") - F.col("l_min"), F.lit(EPS))) * (config.n_l - 1))
     hi = F.floor(F.col("h") / TAU * config.n_h) % config.n_h
     return polar.groupBy("image_id", li.cast("int").alias("li"), hi.cast("int").alias("hi")).agg(F.max("c").alias("cap"))

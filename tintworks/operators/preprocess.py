@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import PreprocessConfig
 from ..errors import EmptyImage, NoValidPixels
-from ..functions.color import linear_to_oklab, relative_luminance, srgb_to_linear
+from ..functions.color import cone_roots, relative_luminance, roots_to_oklab, srgb_to_linear
 from .constants import linear_background
 
 RGBA_SCHEMA = "image_id bigint, width int, height int, idx bigint, x int, y int, r int, g int, b int, a int"
@@ -109,7 +109,9 @@ def prepare(rgba: DataFrame, config: PreprocessConfig | None = None) -> DataFram
     back = linear_background(config.background)
     lit = raw.withColumns({f"lin_{c}": F.col("raw_alpha") * F.col(f"fg_{c}") + (1.0 - F.col("raw_alpha")) * F.lit(back[k]) for k, c in enumerate("rgb")})
     rgb = (F.col("lin_r"), F.col("lin_g"), F.col("lin_b"))
-    lab = linear_to_oklab(rgb)
+    # cone responses as columns of their own: each of l, a and b reads all three
+    lit = lit.withColumns({f"cone_{k}": v for k, v in enumerate(cone_roots(rgb))})
+    lab = roots_to_oklab([F.col(f"cone_{k}") for k in range(3)])
     valid = F.col("raw_alpha") >= config.min_alpha
     mass = F.when(valid, F.col("raw_alpha") if config.alpha_into_weight else F.lit(1.0)).otherwise(0.0)
     named = {"luminance": relative_luminance(rgb), "l": lab[0], "a": lab[1], "b": lab[2], "alpha": mass, "valid": valid}

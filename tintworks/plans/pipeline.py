@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ class Support:
 
 def support_from_rgba(rgba: DataFrame, config: PipelineConfig | None = None) -> Support:
     config = config or PipelineConfig()
-    pixels = compute_saliency(prepare(rgba, config.preprocess), config.saliency)
+    # read by every later stage; a lost part is computed again from its image
+    pixels = compute_saliency(prepare(rgba, config.preprocess), config.saliency).persist(StorageLevel.MEMORY_AND_DISK)
     reps = select_representatives(pixels, config.sampling)
     samples = export_samples(pixels, reps, config.export)
     grid = meta = None
