@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import durable, fresh
 from .links import bucket_members, linked_components
 from .minhash import Bands, band_keys, signatures
-from .minhash_dedup import fetch
+from .minhash_dedup import fetch, measure_pairs
 from .textkernel import lower_ascii, mix64, span_hashes, utf8_views
 
 
@@ -143,28 +143,15 @@ def _line_bands(text: Column, config: LineConfig) -> Column:
     return kernel.asNondeterministic()(text)
 
 
-def _similar(a: Column, b: Column, config: LineConfig) -> Column:
-    """Exact Jaccard similarity of two lines' character shingle sets against the threshold."""
-
-    @F.arrow_udf("boolean")
-    def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
-        sets = []
-        for column in (left, right):
-            own: list[np.ndarray] = []
-            forms = [v.tobytes() for v in utf8_views(column)]
-            for data, starts, ends in _form_chunks(forms):
-                hashes, owners = _char_shingles(data, starts, ends, config.width)
-                order = np.argsort(owners, kind="stable")
-                bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
-                own += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
-            sets.append(own)
-        out = []
-        for x, y in zip(*sets):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= config.percent * (len(x) + len(y) - common))
-        return pa.array(out, pa.bool_())
-
-    return kernel.asNondeterministic()(a, b)
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The character shingle set of each line, as sorted hashes."""
+    out: list[np.ndarray] = []
+    for data, starts, ends in _form_chunks([v.tobytes() for v in utf8_views(column)]):
+        hashes, owners = _char_shingles(data, starts, ends, width)
+        order = np.argsort(owners, kind="stable")
+        bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
+        out += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
+    return out
 
 
 def _line_forms(text: Column, config: LineConfig) -> Column:
@@ -196,11 +183,8 @@ def line_components(docs: DataFrame, config: LineConfig | None = None, *, text:
     forms = fetch(docs.select(F.explode(_line_forms(F.col(text), config)).alias("l")).select("l.*"), durable(nodes), "node")
     forms = durable(forms.dropDuplicates(["node"]))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = forms.select(F.col("node").alias("a"), F.col("form").alias("fa")), forms.select(F.col("node").alias("b"), F.col("form").alias("fb"))
-        return pairs.join(a, "a").join(b, "b").where(_similar(F.col("fa"), F.col("fb"), config)).select("a", "b")
-
-    return linked_components(members, verify)
+    texts = forms.withColumnRenamed("form", "text")
+    return linked_components(members, lambda pairs, extra: measure_pairs(pairs, texts, lambda c: _sets(c, config.width), extra), config.percent)
 
 
 def _without(text: Column, places: Column) -> Column:

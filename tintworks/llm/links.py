@@ -1,21 +1,28 @@
 """Links between units that share buckets, and their connected components, without all-pairs joins.
 
-Candidates are star-shaped.  In the first round every unit is held against one
-other: the smallest centre (smallest member) of its buckets.  The links that are
-confirmed join units into components.  A bucket whose members are all of one
-component is done.  In each further round every other bucket names centres, at
-first one, from its smallest components, and these are held against the members
-of other components; then they leave the bucket.  Rounds go on until no bucket
-has two components, so every two members of a bucket are either compared or
-already joined: no link is lost, and pairs grow with the members that stand apart
-from their bucket's main component, not with the square of a group.
+Candidates are star-shaped.  A unit's pivot is the most central unit that it shares
+a bucket with: the one with the largest buckets, as the original of a group of
+copies has.  Every unit is held against its pivot, and the links that are confirmed
+join units into components.  What remains are pairs of units that share a bucket
+and stand in different components.
+
+* Units of one pivot c: |x & y| is at most min(|x & c|, |y & c|) plus what x and y
+  share outside c.  So a link needs shared elements outside the pivot, which are
+  few and rare and found by a join on them, or sizes so unequal that it needs none,
+  which are found by a join on size classes.
+* Units of different pivots: in each bucket that still holds such a pair, members
+  of its smallest groups are held against the others of other pivots, and leave the
+  bucket; rounds go on until no bucket holds such a pair.
+
+So every two members of a bucket are joined already, compared, or excluded by their
+bound: no link is lost, and pairs don't grow with the square of a group of copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,41 +51,96 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_members(postings: DataFrame) -> DataFrame:
-    """(key, node) of the buckets with two nodes or more, from (key, node).
+    """(key, node, held) of the buckets with two nodes or more, from (key, node); held is the bucket's size.
 
     One shuffle by key serves the counts and the members.
     """
     dealt = postings.repartition("key")
-    several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("key").alias("k"), "low")
-    return dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "low")
+    several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held")
+    return dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "held")
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(node, pivot): the most central node among those of the node's buckets, itself included."""
+    central = members.groupBy("node").agg(F.sum("held").alias("rank")).withColumnRenamed("node", "n")
+    ranked = durable(members.join(central, F.col("node") == F.col("n")).select("key", "node", "rank"))
+    # the largest rank, then the smallest node of that rank
+    top = ranked.groupBy("key").agg(F.max("rank").alias("top")).withColumnRenamed("key", "k")
+    best = ranked.join(top, (F.col("key") == F.col("k")) & (F.col("rank") == F.col("top"))).groupBy("key").agg(F.max("rank").alias("r"), F.min("node").alias("c")).withColumnRenamed("key", "k")
+    offered = ranked.join(best, F.col("key") == F.col("k")).select("node", "r", "c")
+    most = offered.groupBy("node").agg(F.max("r").alias("most")).withColumnRenamed("node", "n")
+    return offered.join(most, (F.col("node") == F.col("n")) & (F.col("r") == F.col("most"))).groupBy("node").agg(F.min("c").alias("pivot"))
+
+
+def _least_common(x: Column, y: Column, percent: int) -> Column:
+    """100 * common >= percent * union, as a bound on common."""
+    return (x + y) * (percent / (100.0 + percent))
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, comp) of the nodes with a link, from (key, node, low) and a check of (a, b) pairs.
+def _same_pivot_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one pivot and different components that their bound doesn't exclude.
 
-    `members` must be cut from its lineage; `verify` returns the pairs that are links.
+    `stars` has (node, pivot, n, common, extra): the set's size, what it shares with the pivot's and what it has besides.
     """
-    first = members.groupBy("node").agg(F.min("low").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b")
-    first = durable(first)
-    links = durable(verify(first))
-    tested, labels = first, durable(connected_components(links))
-    open_, at_once = members.select("key", "node"), 1
+    placed = stars.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("x")
+    split = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("pivot").alias("c"))
+    placed = durable(placed.join(split, F.col("pivot") == F.col("c"), "left_semi"))
+    slack = 1e-6
+    tokens = placed.select("pivot", "comp", "node", "n", "common", F.explode("extra").alias("token"))
+    crossed = tokens.groupBy("pivot", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("pivot").alias("p"), F.col("token").alias("t"))
+    tokens = durable(tokens.join(crossed, (F.col("pivot") == F.col("p")) & (F.col("token") == F.col("t")), "left_semi"))
+    other = tokens.select(*[F.col(c).alias(f"{c}_") for c in tokens.columns])
+    met = tokens.join(other, (F.col("pivot") == F.col("pivot_")) & (F.col("token") == F.col("token_")) & (F.col("node") > F.col("node_")) & (F.col("comp") != F.col("comp_")))
+    shared = met.groupBy("node", "node_").agg(F.count("*").alias("outside"), F.min("n").alias("n"), F.min("n_").alias("n_"), F.min("common").alias("common"), F.min("common_").alias("common_"))
+    bound = F.least("common", "common_") + F.col("outside") >= _least_common(F.col("n"), F.col("n_"), percent) - slack
+    by_token = shared.where(bound).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    # without anything shared outside the pivot: the partner's size is then in a narrow range
+    step, most = 1.01, F.col("common") * ((100.0 + percent) / percent) - F.col("n")
+    size_class = lambda x: F.floor(F.ln(F.greatest(x, F.lit(1.0))) / F.ln(F.lit(step))).cast("int")
+    ranged = placed.where(most >= F.col("n") * (percent / 100.0) - slack).withColumn("z", F.explode(F.sequence(size_class(F.col("n") * (percent / 100.0)), size_class(most + slack))))
+    sized = placed.select(F.col("pivot").alias("pivot_"), F.col("comp").alias("comp_"), F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("common").alias("common_"), size_class(F.col("n").cast("double")).alias("z_"))
+    free = ranged.join(sized, (F.col("pivot") == F.col("pivot_")) & (F.col("z") == F.col("z_")) & (F.col("comp") != F.col("comp_")) & (F.least("common", "common_") >= _least_common(F.col("n"), F.col("n_"), percent) - slack))
+    by_size = free.select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b"))
+    return by_token.unionByName(by_size).distinct()
+
+
+def linked_components(members: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], percent: int) -> DataFrame:
+    """(node, comp) of the nodes with a link, from the members of buckets.
+
+    `members` must be cut from its lineage.  `measure(pairs, extra)` gives (a, b, n_a,
+    n_b, common) of pairs' full sets, and with `extra` the elements of a's outside b's.
+    """
+    is_link = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    pivots = durable(_pivots(members))
+    measured = durable(measure(pivots.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), True))
+    links = measured.where(is_link).select("a", "b")
+    labels = durable(connected_components(links))
+    stars = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("n_a").alias("n"), "common", "extra")
+    pairs = durable(_same_pivot_pairs(stars, labels, percent))
+    tested = durable(measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(pairs).distinct())
+
+    def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = durable(measure(pairs, False).where(is_link).select("a", "b"))
+        if found.isEmpty():
+            return links, labels
+        links = links.unionByName(found)
+        return links, durable(connected_components(links))
+
+    links, labels = joined(links, labels, pairs)
+    open_, at_once = members.select("key", "node").join(pivots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "pivot"), 1
     while True:
-        labelled = open_.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("node").alias("centre"))
-        split = groups.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("key").alias("k"))
+        labelled = open_.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
+        split = labelled.groupBy("key").agg(*[f(c).alias(f"{c}_{n}") for c in ("comp", "pivot") for n, f in (("low", F.min), ("high", F.max))]).where("comp_low < comp_high and pivot_low < pivot_high").select(F.col("key").alias("k"))
         labelled = durable(labelled.join(split, F.col("key") == F.col("k"), "left_semi"))
         if labelled.isEmpty():
             return labels
-        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("node").alias("centre"))
-        centres = groups.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("size", "comp"))).where(F.col("rank") <= at_once).select(F.col("key").alias("k"), "centre", F.col("comp").alias("of"))
-        centres = durable(centres)
-        pairs = labelled.join(centres, F.col("key") == F.col("k")).where("comp <> of").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+        # of each bucket the nodes of its smallest groups of one pivot, as many as the round asks for
+        groups = labelled.groupBy("key", "pivot").agg(F.count("*").alias("size"), F.min("node").alias("centre"))
+        centres = groups.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("size", "pivot"))).where(F.col("rank") <= at_once).select(F.col("key").alias("k"), "centre", F.col("pivot").alias("star"))
+        centres = durable(centres.join(labels.withColumnRenamed("node", "n"), F.col("centre") == F.col("n"), "left").select("k", "centre", "star", F.coalesce("comp", "centre").alias("of")))
+        pairs = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("of")) & (F.col("pivot") != F.col("star"))).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = durable(tested.unionByName(pairs))
-        found = durable(verify(pairs))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = durable(connected_components(links))
-        open_ = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("node") == F.col("centre")), "left_anti").select("key", "node")
+        links, labels = joined(links, labels, pairs)
+        open_ = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("node") == F.col("centre")), "left_anti").select("key", "node", "pivot")
         at_once *= 2

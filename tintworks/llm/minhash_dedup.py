@@ -75,25 +75,41 @@ def _described(text: Column, config: NearDupConfig) -> Column:
     return kernel.asNondeterministic()(text)
 
 
-def _similar(a: Column, b: Column, config: NearDupConfig) -> Column:
-    """Whether the full sets of two texts are similar enough."""
+def measured_sets(sets_of, extra: bool):
+    """A function of two string columns: sizes, common elements and, with `extra`, the first set's others.
 
-    @F.arrow_udf("boolean")
+    `sets_of` turns a string array into a list of sorted arrays of element hashes.
+    """
+
+    @F.arrow_udf("struct<n_a:bigint,n_b:bigint,common:bigint,extra:array<bigint>>")
     def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
-        sets = []
-        for column in (left, right):
-            own = []
-            for chunk in chunks(column):
-                hashes, bounds = _chunk_shingles(chunk, config.width)
-                own += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-            sets.append(own)
-        out = []
-        for x, y in zip(*sets):
-            common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= config.percent * max(len(x), len(y)) else 0
-            out.append(len(x) > 0 and 100 * common >= config.percent * (len(x) + len(y) - common))
-        return pa.array(out, pa.bool_())
-
-    return kernel.asNondeterministic()(a, b)
+        counts, others = [], []
+        for x, y in zip(sets_of(left), sets_of(right)):
+            both = np.intersect1d(x, y, assume_unique=True)
+            counts.append((len(x), len(y), len(both)))
+            others.append(np.setdiff1d(x, both, assume_unique=True) if extra else x[:0])
+        offsets = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *others]).view(np.int64)
+        table = np.array(counts, dtype=np.int64).reshape(-1, 3)
+        columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)]
+        return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["n_a", "n_b", "common", "extra"])
+
+    return kernel.asNondeterministic()
+
+
+def measure_pairs(pairs: DataFrame, texts: DataFrame, sets_of, extra: bool) -> DataFrame:
+    """(a, b, n_a, n_b, common, extra) of (a, b) pairs, with (node, text) for every node."""
+    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.join(a, "a").join(b, "b")
+    return joined.withColumn("m", measured_sets(sets_of, extra)(F.col("ta"), F.col("tb"))).select("a", "b", "m.*")
+
+
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    out = []
+    for chunk in chunks(column):
+        hashes, bounds = _chunk_shingles(chunk, width)
+        out += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+    return out
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -124,11 +140,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, *, doc
     # rows that repeat an id and its text share a row_key, and any of them will do
     texts = durable(fetch(given.select("row_key", "text"), wanted, "row_key").select("node", "text").dropDuplicates(["node"]))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(a, "a").join(b, "b").where(_similar(F.col("ta"), F.col("tb"), config)).select("a", "b")
-
-    labels = linked_components(members, verify)
+    labels = linked_components(members, lambda pairs, extra: measure_pairs(pairs, texts, lambda c: _sets(c, config.width), extra), config.percent)
     labelled = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("x")
     least = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id")).withColumnRenamed("comp", "c")
     found = labelled.join(least, F.col("comp") == F.col("c")).select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("n").alias("xn"), "component_id")
