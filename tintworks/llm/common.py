@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable
 
@@ -35,4 +36,9 @@ def durable(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tintworks-checkpoints-"))
-    return frame.checkpoint(eager=True)
+    kept = frame.checkpoint(eager=True)
+    # Shuffle files of the lineage that was cut go when the driver collects its garbage.
+    del frame
+    gc.collect()
+    context._jvm.System.gc()
+    return kept
