@@ -12,7 +12,7 @@ and stand in different components.
   which are found by a join on size classes.
 * Units of different pivots: in each bucket that still holds such a pair, members
   of its smallest groups are held against the others of other pivots, and leave the
-  bucket; rounds go on until no bucket holds such a pair.
+  bucket; rounds take more members each time, until no bucket holds such a pair.
 
 So every two members of a bucket are joined already, compared, or excluded by their
 bound: no link is lost, and pairs don't grow with the square of a group of copies.
@@ -127,20 +127,21 @@ def linked_components(members: DataFrame, measure: Callable[[DataFrame, bool], D
         return links, durable(connected_components(links))
 
     links, labels = joined(links, labels, pairs)
-    open_, at_once = members.select("key", "node").join(pivots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "pivot"), 1
+    open_, at_once = members.select("key", "node").join(pivots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "pivot"), 2
     while True:
         labelled = open_.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
         split = labelled.groupBy("key").agg(*[f(c).alias(f"{c}_{n}") for c in ("comp", "pivot") for n, f in (("low", F.min), ("high", F.max))]).where("comp_low < comp_high and pivot_low < pivot_high").select(F.col("key").alias("k"))
         labelled = durable(labelled.join(split, F.col("key") == F.col("k"), "left_semi"))
         if labelled.isEmpty():
             return labels
-        # of each bucket the nodes of its smallest groups of one pivot, as many as the round asks for
-        groups = labelled.groupBy("key", "pivot").agg(F.count("*").alias("size"), F.min("node").alias("centre"))
-        centres = groups.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("size", "pivot"))).where(F.col("rank") <= at_once).select(F.col("key").alias("k"), "centre", F.col("pivot").alias("star"))
-        centres = durable(centres.join(labels.withColumnRenamed("node", "n"), F.col("centre") == F.col("n"), "left").select("k", "centre", "star", F.coalesce("comp", "centre").alias("of")))
+        # of each bucket, the nodes of its smallest groups of one pivot, as many as the round asks for
+        groups = labelled.groupBy("key", "pivot").agg(F.count("*").alias("size")).select(F.col("key").alias("k"), F.col("pivot").alias("p"), "size")
+        order = W.partitionBy("key").orderBy("size", "pivot", "node")
+        sized = labelled.join(groups, (F.col("key") == F.col("k")) & (F.col("pivot") == F.col("p")))
+        centres = durable(sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at_once).select(F.col("key").alias("k"), F.col("node").alias("centre"), F.col("pivot").alias("star"), F.col("comp").alias("of")))
         pairs = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("of")) & (F.col("pivot") != F.col("star"))).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = durable(tested.unionByName(pairs))
         links, labels = joined(links, labels, pairs)
         open_ = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("node") == F.col("centre")), "left_anti").select("key", "node", "pivot")
-        at_once *= 2
+        at_once *= 8
