@@ -73,22 +73,37 @@ def _form_hashes(forms: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
 
 
+#: Codes of the characters below U+3000; others are mixed one by one.
+_CODES = mix64(np.arange(1, 0x3001, dtype=np.uint64))
+
+
+def _windows(code: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial hash of every `width` consecutive codes, from windows of half the width."""
+    if width == 1:
+        return code
+    half = width // 2
+    part = _windows(code, half)
+    out = part[: len(part) - half] * np.uint64(pow(0x9E3779B97F4A7C15, half, 1 << 64)) + part[half:]
+    return out if width == 2 * half else out[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[width - 1 :]
+
+
 def _char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of each form, with repeats, and the form of each."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     stops = np.flatnonzero(points == 0x0A)
     begins = np.concatenate([[0], stops[:-1] + 1])
-    code = mix64(points.astype(np.uint64) + np.uint64(1))
+    code = _CODES[points] if len(points) and points.max() < len(_CODES) else mix64(points.astype(np.uint64) + np.uint64(1))
     owner = np.repeat(np.arange(len(stops)), stops - begins + 1)
     n = len(points) - width + 1
     hashes, owners = [], []
     if n > 0:
-        rolling = code[:n].copy()
-        for k in range(1, width):
-            rolling *= np.uint64(0x9E3779B97F4A7C15)
-            rolling ^= code[k : k + n]
+        windows = _windows(code, width)
         whole = np.flatnonzero(np.arange(n) + width <= stops[owner[:n]])
-        hashes.append(mix64(rolling[whole]))
+        mixed = windows[whole]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(29)
+        hashes.append(mixed)
         owners.append(owner[whole])
     short = np.flatnonzero(stops - begins < width)
     hashes.append(span_hashes(data, starts[short], ends[short]))
