@@ -5,12 +5,12 @@ ASCII white space as one space, and none at the ends.  A line's set is its disti
 character shingles; a line of fewer characters is its own only shingle.  Equal
 lines (by a 64-bit hash of the compared form) are one unit; units of four shingles
 or more are bucketed by bands of their signatures (with fewer, similarity 0.8 means
-equality), candidates are verified by exact Jaccard similarity of the full sets,
+equal sets, and so equal lines unless a line repeats itself), candidates are verified by exact Jaccard similarity of the full sets,
 and a distributed union-find joins links to components.  Of each component only
 one line stays: the first by doc_id, then by place in the document.
 
-Lines without a word, and lines with fewer words than `min_words`, are never
-compared and always stay.  A document keeps its other lines in order.
+Lines without a word are never compared and always stay; any other line, however
+short, is compared.  A document keeps its other lines in order.
 
 Edge cases: a null text stays null, an empty text empty; null ids come after all
 others; rows that repeat an id and its text are one document and keep the same
@@ -39,7 +39,7 @@ class LineConfig:
     width: int = 8
     percent: int = 80
     bands: Bands = Bands(10, 4)
-    min_words: int = 3
+    min_words: int = 1
     least_shingles: int = 4
 
 
@@ -54,6 +54,18 @@ def _compared_lines(view: np.ndarray, min_words: int) -> tuple[list[int], list[b
     return places, forms
 
 
+def _may_link(form: bytes, config: LineConfig) -> bool:
+    """Whether another line than an equal one can be similar: always from `least_shingles` shingles on.
+
+    Fewer shingles have to be the same set.  Two lines of one such set go around a cycle
+    of its shingles, so that a window repeats itself within fewer characters than there
+    are shingles; all other characters are outside of that window.
+    """
+    if len(form) >= config.width + config.least_shingles - 1:  # bytes, so characters or more
+        return True
+    return len(form) >= config.width and len(set(form.decode("utf-8", "replace"))) <= 2 * config.least_shingles - 3
+
+
 def _form_chunks(forms: list[bytes], limit: int = 1 << 18):
     """(bytes, starts, ends) of consecutive forms, a line feed after each."""
     at = 0
@@ -140,8 +152,8 @@ def _line_bands(text: Column, config: LineConfig) -> Column:
         for view in utf8_views(column):
             fresh_forms = []
             for form in _compared_lines(view, config.min_words)[1]:
-                # repeats within the batch say nothing new; at least width + 3 characters make four shingles
-                if len(form) >= config.width + config.least_shingles - 1 and form not in known:
+                # repeats within the batch say nothing new
+                if form not in known and _may_link(form, config):
                     known.add(form)
                     fresh_forms.append(form)
             forms += fresh_forms
