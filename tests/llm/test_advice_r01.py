@@ -1,11 +1,12 @@
 """Cases of the review of round 1: each failed before its finding was settled."""
 
 import collections
+import random
 import re
 
 from test_operators import components, lower
 
-from tintworks.llm import line_dedup
+from tintworks.llm import line_dedup, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -37,3 +38,20 @@ def test_all_lines_by_brute_force(spark, sf):
     given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     out = line_dedup.dedup_lines(given).collect()
     assert {r["doc_id"]: r["text"] for r in out} == lines_left([tuple(r) for r in given.collect()])
+
+
+def test_junk_that_only_the_word_distance_tells(spark):
+    """Words in the order of prose, with its character classes, but hardly a common word."""
+    rng = random.Random(5)
+    rare = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rare = [w for w in rare if w not in quality_rules.WORDS]
+    common = quality_rules.COMMON_WORDS["en"]
+    text = lambda share, n: " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
+    prose, junk = [text(0.45, rng.randint(150, 400)) for _ in range(150)], [text(0.1, rng.randint(150, 400)) for _ in range(8)]
+    copied = prose + junk + prose[:1] * 400
+    rows = [(i, t, "en") for i, t in enumerate(copied)]
+    out = {r["doc_id"]: r["quality"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    junk_ids = range(len(prose), len(prose) + len(junk))
+    assert all(not out[i]["base_failed"] and out[i]["class_distance"] < 0.33 and out[i]["word_distance"] < 0.47 and not out[i]["kept"] for i in junk_ids)
+    # copies of one text don't narrow the spread of the others
+    assert sum(out[i]["kept"] for i in range(len(prose))) >= 0.97 * len(prose)

@@ -8,6 +8,12 @@ Jensen-Shannon distance (base 2, so 0 to 1) between its histogram and the
 reference exceeds a limit.  Histograms of short documents say little, so each
 comparison has a minimum length below which it doesn't count.
 
+The word distance has a second limit, from the spread of the distances themselves:
+within a reference, documents of similar length (a factor of two) differ from it
+about equally, and one that stands out by `word_spread` robust deviations above
+their median diverges.  Texts that repeat exactly count once in the spread, and it
+is no less than what drawing so few words brings.
+
 Edge cases: a null or empty text has no words and fails the base rule; a null or
 unknown language is held against the pooled reference; with no reference mass a
 comparison doesn't count; repeated rows give repeated results; an empty table
@@ -64,6 +70,8 @@ class QualityConfig:
     word_distance: float = 0.47
     min_class_chars: int = 200
     min_hist_words: int = 60
+    word_spread: float = 3.5
+    min_spread_docs: int = 30
 
 
 _FEATURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,classes:array<bigint>,words:array<bigint>>"
@@ -185,19 +193,67 @@ def _distance(counts: Column, reference: Column, mass: Column) -> Column:
     return F.when((mass > 0) & (F.aggregate(reference, F.lit(0.0), lambda a, x: a + x) > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
 
 
+def _length_class(n_words: Column, config: QualityConfig) -> Column:
+    """0 from min_hist_words words on, 1 from twice as many, and so on."""
+    return F.floor(F.log2(n_words / config.min_hist_words)).cast("int")
+
+
+def _spread_limit(counts: np.ndarray, n_words: float, config: QualityConfig) -> float | None:
+    """Median plus robust deviations of a histogram of distances; None of too few texts."""
+    if counts.sum() < config.min_spread_docs:
+        return None
+    values = (np.arange(len(counts)) + 0.5) / (len(counts) - 1)
+    middle = lambda x, c: x[np.searchsorted(np.cumsum(c), c.sum() / 2)]
+    median = middle(values, counts)
+    order = np.argsort(np.abs(values - median), kind="stable")
+    deviation = 1.4826 * middle(np.abs(values - median)[order], counts[order])
+    # a distance between n words' shares and those they are drawn from deviates by 0.3 / sqrt(n)
+    return float(median + config.word_spread * max(deviation, 0.3 / n_words**0.5))
+
+
+def _reference_of(key: Column, references: dict, which: int) -> Column:
+    return F.coalesce(
+        *[F.when(key == k, F.array(*map(F.lit, v[which]))) for k, v in sorted(references.items()) if k and sum(v[which])],
+        F.array(*map(F.lit, references[""][which])),
+    )
+
+
+def word_limits(docs: DataFrame, references: dict, config: QualityConfig | None = None, *, text: str = "text", lang: str = "lang") -> dict[tuple[str, int], float]:
+    """The limit of the word distance by reference and length class, where there are enough texts.
+
+    A class of too few texts takes the limit of the next shorter one of its reference.
+    Shuffles a few numbers for each document; the result is a histogram of 1,001
+    bins for each reference and length class, whatever the size of the table.
+    """
+    config = config or QualityConfig()
+    bins = 1000
+    measured = docs.select(_language(F.col(lang)).alias("k"), F.xxhash64(text).alias("text_hash"), features(F.col(text), config.window).alias("f")).where(F.col("f.n_words") >= config.min_hist_words)
+    distance = _distance(F.col("f.words"), _reference_of(F.col("k"), references, 1), F.col("f.n_words"))
+    placed = measured.select("k", _length_class(F.col("f.n_words"), config).alias("z"), F.floor(distance * bins).cast("int").alias("bin"), "text_hash").where("bin is not null").distinct()
+    histograms: dict[tuple[str, int], np.ndarray] = {}
+    for k, z, at, n in placed.groupBy("k", "z", "bin").agg(F.count("*").alias("n")).collect():
+        histograms.setdefault((k, z), np.zeros(bins + 1, dtype=np.int64))[at] += n
+    limits: dict[tuple[str, int], float] = {}
+    for k, z in sorted(histograms):
+        limit = _spread_limit(histograms[k, z], config.min_hist_words * 2.0**z, config)
+        shorter = [limits[k, y] for y in range(z) if (k, y) in limits]
+        if limit is not None or shorter:
+            limits[k, z] = limit if limit is not None else shorter[-1]
+    return limits
+
+
 def quality_rules(docs: DataFrame, config: QualityConfig | None = None, references: dict | None = None, *, text: str = "text", lang: str = "lang", result: str = "quality") -> DataFrame:
     """`docs` with a struct column `result`: the base counts, base_failed, both distances, kept.
 
-    No shuffle but the sums of the references; every row is judged on its own text.
+    No shuffle but the sums of the references and the histograms of the spread; every
+    row is judged on its own text.
     A distance is null where its guard says the document is too short.
     """
     config = config or QualityConfig()
     references = references or language_references(docs, config, text=text, lang=lang)
+    limits = word_limits(docs, references, config, text=text, lang=lang)
     (f, key) = fresh(docs.columns, "f", "k")
-    lookup = lambda which: F.coalesce(
-        *[F.when(F.col(key) == k, F.array(*map(F.lit, v[which]))) for k, v in sorted(references.items()) if k and sum(v[which])],
-        F.array(*map(F.lit, references[""][which])),
-    )
+    lookup = lambda which: _reference_of(F.col(key), references, which)
     counts = F.col(f)
     n_words, repeated = counts["n_words"], counts["n_repeat_words"]
     chars = F.aggregate(counts["classes"], F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -206,6 +262,9 @@ def quality_rules(docs: DataFrame, config: QualityConfig | None = None, referenc
     failed = (n_words < config.min_words) | (100 * repeated > config.max_repeat_percent * n_words)
     judged = docs.withColumns({f: features(docs[text], config.window), key: _language(docs[lang])})
     with_distances = judged.withColumns({f: F.struct(f"{f}.*", failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"))})
-    verdict = ~counts["base_failed"] & (F.coalesce(counts["class_distance"], F.lit(0.0)) <= config.class_distance) & (F.coalesce(counts["word_distance"], F.lit(0.0)) <= config.word_distance)
+    length = _length_class(counts["n_words"], config)
+    by_spread = F.coalesce(*[F.when((F.col(key) == k) & (length == z), F.lit(x)) for (k, z), x in limits.items()], F.lit(config.word_distance))
+    word_limit = F.least(by_spread, F.lit(config.word_distance))
+    verdict = ~counts["base_failed"] & (F.coalesce(counts["class_distance"], F.lit(0.0)) <= config.class_distance) & (F.coalesce(counts["word_distance"], F.lit(0.0)) <= word_limit)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance")
     return with_distances.select(*[docs.columns[i] for i in range(len(docs.columns)) if docs.columns[i] != result], F.struct(*[counts[b].alias(b) for b in base], verdict.alias("kept")).alias(result))
