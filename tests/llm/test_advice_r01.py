@@ -6,7 +6,7 @@ import re
 
 from test_operators import components, lower
 
-from tintworks.llm import line_dedup, quality_rules
+from tintworks.llm import license_scan, line_dedup, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,3 +55,16 @@ def test_junk_that_only_the_word_distance_tells(spark):
     assert all(not out[i]["base_failed"] and out[i]["class_distance"] < 0.33 and out[i]["word_distance"] < 0.47 and not out[i]["kept"] for i in junk_ids)
     # copies of one text don't narrow the spread of the others
     assert sum(out[i]["kept"] for i in range(len(prose))) >= 0.97 * len(prose)
+
+
+def test_adjacent_notices():
+    config = license_scan.LicenseConfig()
+    templates = license_scan.compiled(config)
+    for t in templates:
+        notice = config.templates[t.name]
+        for copies, between in ((2, " "), (3, " "), (2, " and also here ")):
+            text = "Some words before foo. " + between.join([notice] * copies) + " bar and others after it."
+            name, share, first, last = license_scan.scan(text.encode(), templates, config)
+            assert (name, share, first, last) == (t.name, 1.0, 4, 3 + len(t.words))
+    notice = config.templates["mit-notice"].replace("free of charge", "gratis").replace("sublicense", "relicense")
+    assert license_scan.scan(f"foo {notice} {notice} bar".encode(), templates, config)[0] == "mit-notice"

@@ -2,7 +2,9 @@
 
 Words are runs of letters and digits, lower-cased.  A template's anchors are its
 words that are not function words; a document's passages are where its anchors
-stand no further apart than `reach` words, with as many words around.  Within a
+stand no further apart than `reach` words, with as many words around.  Where a
+passage has an anchor more often than the template, notices may stand side by side:
+then the places where each anchor puts the template are passages too.  Within a
 passage, words unique to both texts are paired, the longest increasing subsequence
 of the pairs is kept, and the gaps between them are aligned the same way, after
 equal words at their ends.  Coverage is the share of the template's words that are
@@ -155,6 +157,21 @@ def passages(words: Sequence[bytes], template: _Template, reach: int) -> list[tu
     return [(max(0, x - reach), min(len(words), y + reach + 1)) for x, y in spans]
 
 
+def repeats(words: Sequence[bytes], lo: int, hi: int, template: _Template) -> list[tuple[int, int]]:
+    """Within a span with an anchor more often than the template has it, the places of the template by each anchor."""
+    most = Counter(w for w in template.words if w in template.anchors)
+    found = Counter(w for w in words[lo:hi] if w in most)
+    if all(n <= most[w] for w, n in found.items()):
+        return []
+    offsets: dict[bytes, list[int]] = {}
+    for j, w in enumerate(template.words):
+        offsets.setdefault(w, []).append(j)
+    size = len(template.words)
+    begins = {max(lo, i - j) for i in range(lo, hi) if words[i] in most for j in offsets[words[i]]}
+    # as long as the template, and with room for words put in
+    return [(x, min(hi, x + n)) for n in (size, size + max(1, size // 5)) for x in sorted(begins)]
+
+
 def scan(text: bytes, templates: list[_Template], config: LicenseConfig) -> tuple:
     """(template, coverage, first word, last word) of the best template; (None, 0.0, None, None) without any."""
     words = words_of(text)
@@ -163,7 +180,10 @@ def scan(text: bytes, templates: list[_Template], config: LicenseConfig) -> tupl
     for t in sorted(templates, key=lambda t: t.name):
         if t.anchors.isdisjoint(present):
             continue
-        for lo, hi in passages(words, t, config.reach):
+        spans = passages(words, t, config.reach)
+        for lo, hi in [s for span in spans for s in (*repeats(words, *span, t), span)]:
+            if min(hi - lo, len(t.words)) < rank[0] * len(t.words):
+                continue
             pairs = align(words[lo:hi], t.words)
             share = len(pairs) / len(t.words)
             if pairs and (share, len(t.words)) > rank:
