@@ -3,19 +3,74 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The columns of `documents`, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Up to so many rows of a few numbers are broadcast, once they are counted; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, also where it has dots or backticks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def given(docs: DataFrame, *added: str, **changed: Column) -> Column:
+    """All columns of `docs` as one struct, but those named like a result's (Spark compares without case).
+
+    Operators carry what they were given in this struct, so that none of its names
+    meets one of theirs; select("given.*") unfolds it.  `changed` replaces columns.
+    """
+    drop = {a.lower() for a in added}
+    return F.struct(*[changed.get(c, column(c)).alias(c) for c in docs.columns if c.lower() not in drop])
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A 128-bit digest of id and text, nulls told from values: what ties a row to what is known of it."""
+    key = F.concat(F.coalesce(F.concat(doc_id.cast("string"), F.lit(":")), F.lit("?")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(key.cast("binary")))
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """`frame`, cut from its lineage, marked for a broadcast if it is counted to be of few rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint(eager=True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of durable frames that nothing reads again."""
+    for frame in frames:
+        context, stored = frame.sparkSession.sparkContext, frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if stored.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(stored.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of lineages that were cut go now: Spark removes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """Names like `names` that no column in `taken` has (Spark compares without case)."""
     used, out = {x.lower() for x in taken}, []
@@ -25,20 +80,3 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
-
-
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names.
-
-    Only where `spark.checkpoint.dir` is unset, as in tests, is a folder of our own set.
-    """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tintworks-checkpoints-"))
-    kept = frame.checkpoint(eager=True)
-    # Shuffle files of the lineage that was cut go when the driver collects its garbage.
-    del frame
-    gc.collect()
-    context._jvm.System.gc()
-    return kept

@@ -3,19 +3,20 @@
 Lines are what \\n separates.  They are compared with A-Z lower-cased, runs of
 ASCII white space as one space, and none at the ends.  A line's set is its distinct
 character shingles; a line of fewer characters is its own only shingle.  Equal
-lines (by a 64-bit hash of the compared form) are one unit; units of four shingles
-or more are bucketed by bands of their signatures (with fewer, similarity 0.8 means
-equal sets, and so equal lines unless a line repeats itself), candidates are verified by exact Jaccard similarity of the full sets,
-and a distributed union-find joins links to components.  Of each component only
-one line stays: the first by doc_id, then by place in the document.
+lines (by a 128-bit digest of the compared form) are one unit; units of four
+shingles or more are bucketed by bands of their signatures (with fewer, similarity
+0.8 means equal sets, and so equal lines unless a line repeats itself), candidates
+are verified by exact Jaccard similarity of the full sets, and a distributed
+union-find joins links to components.  Of each component only one line stays: the
+first by doc_id, then by place in the document.
 
 Lines without a word are never compared and always stay; any other line, however
 short, is compared.  A document keeps its other lines in order.
 
 Edge cases: a null text stays null, an empty text empty; null ids come after all
 others; rows that repeat an id and its text are one document and keep the same
-lines; an empty table gives an empty result.  Other columns pass through,
-unless they have a result's name.
+lines; an empty table gives an empty result.  Other columns of any name pass
+through, unless they have a result's name.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
-from .links import bucket_members, linked_components
+from .common import column, discard, durable, given, release, row_key, small
+from .links import bucket_members, linked_components, set_column
 from .minhash import Bands, band_keys, signatures
-from .minhash_dedup import fetch, measure_pairs
-from .textkernel import lower_ascii, mix64, span_hashes, utf8_views
+from .textkernel import digest128, lower_ascii, mix64, span_hashes, utf8_views
 
 
 @dataclass(frozen=True)
 class LineConfig:
     width: int = 8
     percent: int = 80
-    bands: Bands = Bands(10, 4)
+    bands: Bands = Bands(16, 4)
     min_words: int = 1
     least_shingles: int = 4
 
@@ -80,11 +80,6 @@ def _form_chunks(forms: list[bytes], limit: int = 1 << 18):
         at = to
 
 
-def _form_hashes(forms: list[bytes]) -> np.ndarray:
-    parts = [span_hashes(d, s, e).view(np.int64) for d, s, e in _form_chunks(forms)]
-    return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
-
-
 #: Codes of the characters below U+3000; others are mixed one by one.
 _CODES = mix64(np.arange(1, 0x3001, dtype=np.uint64))
 
@@ -123,95 +118,89 @@ def _char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def _line_hashes(text: Column, config: LineConfig) -> Column:
-    """Places and hashes of the compared lines of each text."""
-
-    @F.arrow_udf("array<struct<place:int,node:bigint>>")
-    def kernel(column: pa.Array) -> pa.Array:
-        places, forms, counts = [], [], []
-        for view in utf8_views(column):
-            p, f = _compared_lines(view, config.min_words)
-            places += p
-            forms += f
-            counts.append(len(p))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        flat = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(_form_hashes(forms))], ["place", "node"])
-        return pa.ListArray.from_arrays(offsets, flat)
+def _coded_lines(text: Column, config: LineConfig) -> Column:
+    """struct(places, h1, h2, banded, keys): what is compared of each text.
 
-    return kernel.asNondeterministic()(text)
-
-
-def _line_bands(text: Column, config: LineConfig) -> Column:
-    """Hash and band keys of the distinct compared lines of each text that have enough shingles."""
+    places, h1 and h2 have an item for each compared line; `banded` has the positions
+    among them of lines that may link to others, and `keys` their band keys, one
+    after the other.  Lines that a batch has had already say nothing new there.
+    """
     shape = config.bands
-    names = [f"k{i}" for i in range(shape.bands)]
 
-    @F.arrow_udf(f"array<struct<node:bigint,{','.join(f'{n}:bigint' for n in names)}>>")
+    @F.arrow_udf("struct<places:array<int>,h1:array<bigint>,h2:array<bigint>,banded:array<int>,keys:array<bigint>>")
     def kernel(column: pa.Array) -> pa.Array:
-        forms, counts, known = [], [], set()
+        places, digests, banded, forms, known = [], [], [], [], set()
+        n_lines, n_banded = [0], [0]
         for view in utf8_views(column):
-            fresh_forms = []
-            for form in _compared_lines(view, config.min_words)[1]:
-                # repeats within the batch say nothing new
-                if form not in known and _may_link(form, config):
-                    known.add(form)
-                    fresh_forms.append(form)
-            forms += fresh_forms
-            counts.append(len(fresh_forms))
+            own_places, own = _compared_lines(view, config.min_words)
+            for at, form in enumerate(own):
+                digest = digest128(form)
+                digests.append(digest)
+                if _may_link(form, config) and (key := digest.tobytes()) not in known:
+                    known.add(key)
+                    banded.append(at)
+                    forms.append(form)
+            places += own_places
+            n_lines.append(len(places))
+            n_banded.append(len(banded))
         keys = [np.zeros((0, shape.bands), dtype=np.int64)]
         for data, starts, ends in _form_chunks(forms):
             hashes, owners = _char_shingles(data, starts, ends, config.width)
             keys.append(band_keys(signatures(hashes, owners, len(starts), shape.bins), shape))
-        table = np.concatenate(keys)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        columns = [pa.array(_form_hashes(forms)), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(shape.bands))]
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["node", *names]))
+        table = np.array(digests, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), values)
+        columns = [lists(n_lines, pa.array(places, pa.int32())), *(lists(n_lines, pa.array(np.ascontiguousarray(table[:, k]))) for k in range(2)), lists(n_banded, pa.array(banded, pa.int32()))]
+        columns.append(lists(np.array(n_banded) * shape.bands, pa.array(np.concatenate(keys).ravel())))
+        return pa.StructArray.from_arrays(columns, ["places", "h1", "h2", "banded", "keys"])
 
     return kernel.asNondeterministic()(text)
 
 
-def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """The character shingle set of each line, as sorted hashes."""
-    out: list[np.ndarray] = []
-    for data, starts, ends in _form_chunks([v.tobytes() for v in utf8_views(column)]):
-        hashes, owners = _char_shingles(data, starts, ends, width)
-        order = np.argsort(owners, kind="stable")
-        bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
-        out += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
-    return out
+def _line_sets(text: Column, places: Column, config: LineConfig) -> Column:
+    """The character shingle sets, as sorted hashes, of the lines of each text at `places`."""
 
+    @F.arrow_udf("array<binary>")
+    def kernel(column: pa.Array, wanted: pa.Array) -> pa.Array:
+        forms, counts = [], [0]
+        for view, some in zip(utf8_views(column), wanted.to_pylist()):
+            known = dict(zip(*_compared_lines(view, config.min_words)))
+            forms += [known[p] for p in some]
+            counts.append(len(forms))
+        out: list[np.ndarray] = []
+        for data, starts, ends in _form_chunks(forms):
+            hashes, owners = _char_shingles(data, starts, ends, config.width)
+            order = np.argsort(owners, kind="stable")
+            bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
+            out += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
+        return pa.ListArray.from_arrays(pa.array(np.array(counts, dtype=np.int32)), set_column(out))
 
-def _line_forms(text: Column, config: LineConfig) -> Column:
-    """Hash and compared form of the compared lines of each text."""
-
-    @F.arrow_udf("array<struct<node:bigint,form:string>>")
-    def kernel(column: pa.Array) -> pa.Array:
-        forms, counts = [], []
-        for view in utf8_views(column):
-            own = _compared_lines(view, config.min_words)[1]
-            forms += own
-            counts.append(len(own))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        flat = pa.StructArray.from_arrays([pa.array(_form_hashes(forms)), pa.array([f.decode() for f in forms], pa.string())], ["node", "form"])
-        return pa.ListArray.from_arrays(offsets, flat)
-
-    return kernel.asNondeterministic()(text)
+    return kernel.asNondeterministic()(text, places)
 
 
-def line_components(docs: DataFrame, config: LineConfig | None = None, *, text: str = "text") -> DataFrame:
-    """(node, comp) for the distinct lines that have a link to a different line."""
-    config = config or LineConfig()
-    names = [f"k{i}" for i in range(config.bands.bands)]
-    banded = docs.select(F.explode(_line_bands(F.col(text), config)).alias("l")).select("l.*")
+def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) -> DataFrame:
+    """(h1, h2, comp) for the distinct lines that have a link to a different line."""
+    n, spark = config.bands.bands, coded.sparkSession
+    names = [f"k{i}" for i in range(n)]
+    banded = coded.select("row", "h1", "h2", "places", "keys", F.posexplode("banded").alias("j", "at"))
+    banded = banded.select(F.get("h1", "at").alias("h1"), F.get("h2", "at").alias("h2"), "row", F.get("places", "at").alias("place"), *[F.get("keys", F.col("j") * n + i).alias(k) for i, k in enumerate(names)])
     # equal lines have equal keys: one row for each line before rows are dealt by key
-    units = durable(banded.groupBy("node").agg(*[F.min(n).alias(n) for n in names]))
+    units = banded.groupBy("h1", "h2").agg(F.first("row").alias("row"), F.first("place").alias("place"), *[F.min(k).alias(k) for k in names])
+    units = durable(units.withColumn("node", F.monotonically_increasing_id()))
+    release(spark)
     members = durable(bucket_members(units.select("node", F.explode(F.array(*names)).alias("key"))))
-    nodes = members.select("node").distinct()
-    forms = fetch(docs.select(F.explode(_line_forms(F.col(text), config)).alias("l")).select("l.*"), durable(nodes), "node")
-    forms = durable(forms.dropDuplicates(["node"]))
-
-    texts = forms.withColumnRenamed("form", "text")
-    return linked_components(members, lambda pairs, extra: measure_pairs(pairs, texts, lambda c: _sets(c, config.width), extra), config.percent)
+    release(spark)
+    nodes = members.select("node").distinct().withColumnRenamed("node", "x")
+    wanted = units.select("node", "row", "place").join(nodes, F.col("node") == F.col("x"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
+    wanted = durable(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines"))
+    # rows that repeat an id and its text share a row_key, and any of them will do
+    found = texts.join(small(wanted), F.col("row_key") == F.col("wanted")).select("lines", _line_sets(F.col("text"), F.col("lines.place"), config).alias("items"))
+    sets = found.select(F.explode(F.arrays_zip(F.col("lines.node").alias("node"), "items")).alias("s")).select("s.node", "s.items")
+    sets = durable(sets.dropDuplicates(["node"]))
+    release(spark)
+    labels = linked_components(members, sets, config.percent)
+    found = durable(units.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp"))
+    discard(units, members, sets, wanted)
+    return found
 
 
 def _without(text: Column, places: Column) -> Column:
@@ -224,29 +213,29 @@ def _without(text: Column, places: Column) -> Column:
 def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `text` cut to the lines that stay, n_lines (before) and n_removed.
 
-    A hot line (in a third of all documents, say) is summed up by partial
-    aggregates; the join back by line splits it (adaptive skew join).
+    One pass of Python codes all lines; a second looks at those in buckets only.  A
+    hot line (in a third of all documents, say) is summed up by partial aggregates;
+    the join back by line splits it (adaptive skew join).
     """
     config = config or LineConfig()
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    (key, places) = fresh(keep, "row_key", "places")
-    row_key = F.xxhash64(docs[doc_id].isNull(), docs[doc_id], docs[text])
-    lines = docs.select(F.col(doc_id).alias("d"), row_key.alias("row_key"), F.posexplode(_line_hashes(F.col(text), config)).alias("i", "l")).select("d", "row_key", "l.place", "l.node")
-    lines = durable(lines)
-    comps = line_components(docs.select(text), config, text=text)
-    firsts = lines.groupBy("node").agg(F.count("*").alias("n"), F.min("d").alias("d"))
-    labelled = firsts.join(comps.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "d")
-    # components of one line are settled: only the others have lines that may go
-    several = labelled.groupBy("comp").agg(F.sum("n").alias("lines"), F.min("d").alias("first_doc")).where("lines > 1").select(F.col("comp").alias("c"), "first_doc")
-    repeated = durable(labelled.join(several, F.col("comp") == F.col("c")).select(F.col("node").alias("x"), "comp", "first_doc"))
-    copies = lines.join(repeated, F.col("node") == F.col("x")).select("d", "row_key", "place", "comp", "first_doc")
-    # the first line of a component: in its first document, the first place
-    at_first = copies.where(F.col("d").eqNullSafe(F.col("first_doc")))
-    place = at_first.groupBy("comp").agg(F.min("place").alias("p")).withColumnRenamed("comp", "c")
-    stay = at_first.join(place, (F.col("comp") == F.col("c")) & (F.col("place") == F.col("p"))).groupBy("comp", "p").agg(F.min("row_key").alias("k")).withColumnRenamed("comp", "c")
-    gone = copies.join(stay, (F.col("comp") == F.col("c")) & (F.col("row_key") == F.col("k")) & (F.col("place") == F.col("p")), "left_anti")
-    by_doc = gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias(places)).withColumnRenamed("row_key", key)
-    joined = docs.select(*keep, row_key.alias(key)).join(by_doc, key, "left")
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
-    out = [_without(F.col(text), F.col(places)).alias(text) if c == text else F.col(f"`{c}`") for c in keep]
-    return joined.select(*out, n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias("n_removed"))
+    texts = docs.select(column(text).alias("text"), row_key(column(doc_id), column(text)).alias("row_key"))
+    coded = docs.select(column(doc_id).alias("d"), row_key(column(doc_id), column(text)).alias("row_key"), F.monotonically_increasing_id().alias("row"), _coded_lines(column(text), config).alias("c")).select("d", "row_key", "row", "c.*")
+    coded = durable(coded)
+    comps = _line_components(coded, texts, config)
+    lines = coded.select("d", "row_key", "places", "h1", "h2", F.posexplode("places").alias("i", "place"))
+    lines = lines.select("d", "row_key", "place", F.get("h1", "i").alias("h1"), F.get("h2", "i").alias("h2"))
+    counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    linked = comps.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "comp")
+    # a component is named by its number, or by its only line's digest; lines that stand alone are settled
+    repeated = counted.join(linked, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").where("n > 1 or comp is not null")
+    repeated = durable(repeated.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.coalesce("comp", "h1").alias("c1"), F.when(F.col("comp").isNull(), F.col("h2")).alias("c2")))
+    copies = durable(lines.join(repeated, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("d", "row_key", "place", "c1", "c2"))
+    discard(repeated)
+    # the first line of each component; of rows that repeat an id and its text, each keeps it
+    stay = copies.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("d"), "d", "place", "row_key")).alias("s")).select(F.col("s.row_key").alias("k"), F.col("s.place").alias("p"))
+    gone = copies.join(stay, (F.col("row_key") == F.col("k")) & (F.col("place") == F.col("p")), "left_anti")
+    by_doc = gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("row_key", "k")
+    whole = docs.select(given(docs, "n_lines", "n_removed", text).alias("given"), column(text).alias("text"), row_key(column(doc_id), column(text)).alias("row_key"))
+    joined = whole.join(by_doc, F.col("row_key") == F.col("k"), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    return joined.select("given.*", _without(F.col("text"), F.col("gone")).alias(text), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))

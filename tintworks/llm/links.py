@@ -1,18 +1,25 @@
 """Links between units that share buckets, and their connected components, without all-pairs joins.
 
-Candidates are star-shaped.  A unit's pivot is the most central unit that it shares
-a bucket with: the one with the largest buckets, as the original of a group of
-copies has.  Every unit is held against its pivot, and the links that are confirmed
-join units into components.  What remains are pairs of units that share a bucket
-and stand in different components.
-
-* Units of one pivot c: |x & y| is at most min(|x & c|, |y & c|) plus what x and y
-  share outside c.  So a link needs shared elements outside the pivot, which are
-  few and rare and found by a join on them, or sizes so unequal that it needs none,
-  which are found by a join on size classes.
-* Units of different pivots: in each bucket that still holds such a pair, members
-  of its smallest groups are held against the others of other pivots, and leave the
-  bucket; rounds take more members each time, until no bucket holds such a pair.
+Candidates are star-shaped: a bucket's centre is its most central unit (the one
+with the largest buckets, as the original of a group of copies has), and each unit
+is held against the centres of its buckets.  The links that are confirmed join
+units into components.  What remains are pairs of units x, y that share a centre c
+and stand in different components; then x or y is not linked with c.
+
+With D(x) for the elements that only one of x and c has, x and y differ in the
+elements that only one of D(x) and D(y) has.  At a similarity of p percent,
+(100 + p) * |x differs y| <= (100 - p) * (|x| + |y|), so a link needs
+
+    2 * (100 + p) * |D(x) & D(y)|  >=  e(x) + e(y),   e(x) = (100 + p) * |D(x)| - (100 - p) * |x|,
+
+and the right side is above 0 where x or y is not linked with c.  (If y isn't,
+(100 + p) * |D(y)| > (100 - p) * (|y| + |c|), and |D(x)| >= ||x| - |c||, so the sum
+exceeds (100 + p) * |D(x)| + (100 - p) * (|c| - |x|) >= 0.)  Hence the two share an
+element of their differences.  These are few beside a near centre.  A prefix filter
+finds the pairs: elements are ordered by how many units of the star have them, the
+rarest first, and two units with so many common elements have one among the first
+of each, so that only those are joined.  What all copies have lies last and is
+joined by none.
 
 So every two members of a bucket are joined already, compared, or excluded by their
 bound: no link is lost, and pairs don't grow with the square of a group of copies.
@@ -20,13 +27,13 @@ bound: no link is lost, and pairs don't grow with the square of a group of copie
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,16 +44,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        inner = now.select(F.col("b").alias("x")).distinct()
-        forked = now.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high")
-        if forked.isEmpty() and now.join(inner, now["a"] == inner["x"], "left_semi").isEmpty():
-            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
+        around = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"), F.sum(F.when(F.col("b") < F.col("a"), 1).otherwise(0)).alias("below"))
+        # a star's leaf has one neighbour, below it; its centre none below
+        if around.where("below > 1 or (below = 1 and most > a)").isEmpty():
+            break
+        low = around.select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
         large = both.join(low, both["a"] == low["x"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "x"), F.col("a") == F.col("x")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        inner = large.join(least.withColumnRenamed("a", "x"), F.col("a") == F.col("x")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, now = now, durable(inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
@@ -60,88 +68,126 @@ def bucket_members(postings: DataFrame) -> DataFrame:
     return dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "held")
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """(node, pivot): the most central node among those of the node's buckets, itself included."""
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of each node a and the other centres b of its buckets, from the members of buckets."""
     central = members.groupBy("node").agg(F.sum("held").alias("rank")).withColumnRenamed("node", "n")
     ranked = durable(members.join(central, F.col("node") == F.col("n")).select("key", "node", "rank"))
     # the largest rank, then the smallest node of that rank
     top = ranked.groupBy("key").agg(F.max("rank").alias("top")).withColumnRenamed("key", "k")
-    best = ranked.join(top, (F.col("key") == F.col("k")) & (F.col("rank") == F.col("top"))).groupBy("key").agg(F.max("rank").alias("r"), F.min("node").alias("c")).withColumnRenamed("key", "k")
-    offered = ranked.join(best, F.col("key") == F.col("k")).select("node", "r", "c")
-    most = offered.groupBy("node").agg(F.max("r").alias("most")).withColumnRenamed("node", "n")
-    return offered.join(most, (F.col("node") == F.col("n")) & (F.col("r") == F.col("most"))).groupBy("node").agg(F.min("c").alias("pivot"))
+    best = ranked.join(top, (F.col("key") == F.col("k")) & (F.col("rank") == F.col("top"))).groupBy("key").agg(F.min("node").alias("c")).withColumnRenamed("key", "k")
+    found = durable(ranked.join(best, F.col("key") == F.col("k")).where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct())
+    discard(ranked)
+    return found
+
+
+def set_column(sets: list[np.ndarray]) -> pa.Array:
+    """Sets as binary values: their elements' hashes, sorted."""
+    return pa.array([np.ascontiguousarray(s, dtype=np.uint64).tobytes() for s in sets], pa.binary())
+
+
+def _kernel(differences: bool):
+    """A function of two columns of sets: their sizes and common elements, or the elements that only one has."""
 
+    @F.arrow_udf("array<bigint>" if differences else "struct<n_a:bigint,n_b:bigint,common:bigint>")
+    def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
+        others, counts = [np.zeros(0, dtype=np.uint64)], []
+        for a, b in zip(left, right):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
+            if differences:
+                others.append(np.setxor1d(x, y, assume_unique=True))
+            else:
+                at = np.searchsorted(y, x)
+                counts.append((len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0))
+        if differences:
+            offsets = np.cumsum([len(o) for o in others]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(others).view(np.int64)))
+        table = np.array(counts, dtype=np.int64).reshape(-1, 3)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)], ["n_a", "n_b", "common"])
 
-def _least_common(x: Column, y: Column, percent: int) -> Column:
-    """100 * common >= percent * union, as a bound on common."""
-    return (x + y) * (percent / (100.0 + percent))
+    return kernel.asNondeterministic()
 
 
-def _same_pivot_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one pivot and different components that their bound doesn't exclude.
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) pairs with the sets of both; the side of the hot centres comes last, where adaptive splitting deals it anew."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("set_b"))
+    return pairs.join(a, "a").join(b, "b")
 
-    `stars` has (node, pivot, n, common, extra): the set's size, what it shares with the pivot's and what it has besides.
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common) of the full sets of (a, b) pairs, with (node, items) for every node."""
+    return _with_sets(pairs, sets).select("a", "b", _kernel(False)("set_a", "set_b").alias("m")).select("a", "b", "m.*")
+
+
+def _labelled(frame: DataFrame, labels: DataFrame, node: str, comp: str) -> DataFrame:
+    """`frame` with the component of its column `node`: itself, where it has no link."""
+    known = labels.select(F.col("node").alias("labelled"), F.col("comp").alias("known"))
+    return frame.join(known, F.col(node) == F.col("labelled"), "left").withColumn(comp, F.coalesce("known", node)).drop("labelled", "known")
+
+
+def _open_stars(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(centre, node, comp, inside, d, e, m): the units of stars that may have links across components, and their bounds.
+
+    `inside` tells whether the unit is in the centre's component; d = |D|; m is the
+    least e of its possible partners, for those inside and outside of that component.
     """
-    placed = stars.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("x")
-    split = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("pivot").alias("c"))
-    placed = durable(placed.join(split, F.col("pivot") == F.col("c"), "left_semi"))
-    slack = 1e-6
-    tokens = placed.select("pivot", "comp", "node", "n", "common", F.explode("extra").alias("token"))
-    crossed = tokens.groupBy("pivot", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("pivot").alias("p"), F.col("token").alias("t"))
-    tokens = durable(tokens.join(crossed, (F.col("pivot") == F.col("p")) & (F.col("token") == F.col("t")), "left_semi"))
-    other = tokens.select(*[F.col(c).alias(f"{c}_") for c in tokens.columns])
-    met = tokens.join(other, (F.col("pivot") == F.col("pivot_")) & (F.col("token") == F.col("token_")) & (F.col("node") > F.col("node_")) & (F.col("comp") != F.col("comp_")))
-    shared = met.groupBy("node", "node_").agg(F.count("*").alias("outside"), F.min("n").alias("n"), F.min("n_").alias("n_"), F.min("common").alias("common"), F.min("common_").alias("common_"))
-    bound = F.least("common", "common_") + F.col("outside") >= _least_common(F.col("n"), F.col("n_"), percent) - slack
-    by_token = shared.where(bound).select(F.col("node").alias("a"), F.col("node_").alias("b"))
-    # without anything shared outside the pivot: the partner's size is then in a narrow range
-    step, most = 1.01, F.col("common") * ((100.0 + percent) / percent) - F.col("n")
-    size_class = lambda x: F.floor(F.ln(F.greatest(x, F.lit(1.0))) / F.ln(F.lit(step))).cast("int")
-    ranged = placed.where(most >= F.col("n") * (percent / 100.0) - slack).withColumn("z", F.explode(F.sequence(size_class(F.col("n") * (percent / 100.0)), size_class(most + slack))))
-    sized = placed.select(F.col("pivot").alias("pivot_"), F.col("comp").alias("comp_"), F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("common").alias("common_"), size_class(F.col("n").cast("double")).alias("z_"))
-    free = ranged.join(sized, (F.col("pivot") == F.col("pivot_")) & (F.col("z") == F.col("z_")) & (F.col("comp") != F.col("comp_")) & (F.least("common", "common_") >= _least_common(F.col("n"), F.col("n_"), percent) - slack))
-    by_size = free.select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b"))
-    return by_token.unionByName(by_size).distinct()
-
-
-def linked_components(members: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], percent: int) -> DataFrame:
-    """(node, comp) of the nodes with a link, from the members of buckets.
-
-    `members` must be cut from its lineage.  `measure(pairs, extra)` gives (a, b, n_a,
-    n_b, common) of pairs' full sets, and with `extra` the elements of a's outside b's.
+    w, v = 100 + percent, 100 - percent
+    placed = _labelled(_labelled(stars, labels, "a", "comp"), labels, "b", "of")
+    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
+    placed = placed.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", (F.col("comp") == F.col("of")).alias("inside"), d.alias("d"), (w * d - v * F.col("n_a")).alias("e"))
+    least = placed.groupBy("centre").agg(F.min(F.when(F.col("inside"), F.col("e"))).alias("m_in"), F.min(F.when(~F.col("inside"), F.col("e"))).alias("m_out")).where("m_out is not null").select(F.col("centre").alias("c"), "m_in", "m_out")
+    met = placed.join(least, F.col("centre") == F.col("c")).drop("c")
+    # no more elements can be common than D has
+    return met.where((2 * w * F.col("d") >= F.col("e") + F.col("m_out")) | (~F.col("inside") & (2 * w * F.col("d") >= F.col("e") + F.col("m_in"))))
+
+
+def _crossing_pairs(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one star and different components that share an element within their prefixes."""
+    w2 = 2 * (100 + percent)
+    units = durable(_open_stars(stars, labels, percent))
+    if units.isEmpty():
+        return units.select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    told = _with_sets(units.withColumnsRenamed({"node": "a", "centre": "b"}), sets).withColumn("token", _kernel(True)("set_a", "set_b"))
+    tokens = durable(told.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", "inside", "e", "m_in", "m_out", F.explode("token").alias("token")))
+    # elements of one component can't join two, and are counted as if they came first
+    crossed = tokens.groupBy("centre", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("centre").alias("c"), F.col("token").alias("t"), "held")
+    left = tokens.join(crossed, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).drop("c", "t")
+    own = W.partitionBy("centre", "node")
+    ranked = left.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("held", "token"))})
+    after = F.col("n") - F.col("at") + 1  # elements from this one on
+    reach = lambda m: (w2 * after >= F.col("e") + m) & (after >= 1)  # noqa: E731  few enough before it that the bound can be met
+    ranked = ranked.withColumns({"after": after, "outer": ~F.col("inside") & reach(F.col("m_out")), "mixed": F.coalesce(F.when(F.col("inside"), reach(F.col("m_out"))).otherwise(reach(F.col("m_in"))), F.lit(False))})
+    ranked = durable(ranked.where("outer or mixed").select("centre", "token", "node", "comp", "inside", "e", "after", "outer", "mixed"))
+    discard(units, tokens)
+    other = ranked.select(*[F.col(c).alias(f"{c}_") for c in ranked.columns])
+    same = (F.col("centre") == F.col("centre_")) & (F.col("token") == F.col("token_")) & (F.col("comp") != F.col("comp_")) & (w2 * F.least("after", "after_") >= F.col("e") + F.col("e_"))
+    outer = ranked.where("outer").join(other.where("outer_"), same & (F.col("node") > F.col("node_")))
+    mixed = ranked.where("inside and mixed").join(other.where("not inside_ and mixed_"), same)
+    pairs = durable(outer.select("node", "node_").unionByName(mixed.select(F.greatest("node", "node_").alias("node"), F.least("node", "node_").alias("node_"))).distinct().toDF("a", "b"))
+    discard(ranked)
+    return pairs
+
+
+def is_link(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+
+
+def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of the nodes with a link, from the members of buckets and (node, items) with their sets.
+
+    Both must be cut from their lineage.  A hot centre's units are split by AQE where
+    sets are joined; a hot element's only partners are those within their prefixes.
     """
-    is_link = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    pivots = durable(_pivots(members))
-    measured = durable(measure(pivots.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), True))
-    links = measured.where(is_link).select("a", "b")
-    labels = durable(connected_components(links))
-    stars = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("n_a").alias("n"), "common", "extra")
-    pairs = durable(_same_pivot_pairs(stars, labels, percent))
-    tested = durable(measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(pairs).distinct())
-
-    def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = durable(measure(pairs, False).where(is_link).select("a", "b"))
-        if found.isEmpty():
-            return links, labels
-        links = links.unionByName(found)
-        return links, durable(connected_components(links))
-
-    links, labels = joined(links, labels, pairs)
-    open_, at_once = members.select("key", "node").join(pivots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "pivot"), 2
-    while True:
-        labelled = open_.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
-        split = labelled.groupBy("key").agg(*[f(c).alias(f"{c}_{n}") for c in ("comp", "pivot") for n, f in (("low", F.min), ("high", F.max))]).where("comp_low < comp_high and pivot_low < pivot_high").select(F.col("key").alias("k"))
-        labelled = durable(labelled.join(split, F.col("key") == F.col("k"), "left_semi"))
-        if labelled.isEmpty():
-            return labels
-        # of each bucket, the nodes of its smallest groups of one pivot, as many as the round asks for
-        groups = labelled.groupBy("key", "pivot").agg(F.count("*").alias("size")).select(F.col("key").alias("k"), F.col("pivot").alias("p"), "size")
-        order = W.partitionBy("key").orderBy("size", "pivot", "node")
-        sized = labelled.join(groups, (F.col("key") == F.col("k")) & (F.col("pivot") == F.col("p")))
-        centres = durable(sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at_once).select(F.col("key").alias("k"), F.col("node").alias("centre"), F.col("pivot").alias("star"), F.col("comp").alias("of")))
-        pairs = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("of")) & (F.col("pivot") != F.col("star"))).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = durable(tested.unionByName(pairs))
-        links, labels = joined(links, labels, pairs)
-        open_ = labelled.join(centres, (F.col("key") == F.col("k")) & (F.col("node") == F.col("centre")), "left_anti").select("key", "node", "pivot")
-        at_once *= 8
+    pairs = star_pairs(members)
+    stars = durable(measured(pairs, sets))
+    labels = durable(connected_components(stars.where(is_link(percent)).select("a", "b")))
+    crossing = _crossing_pairs(stars, labels, sets, percent)
+    tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = durable(measured(crossing.join(tested, ["a", "b"], "left_anti"), sets).where(is_link(percent)).select("a", "b"))
+    if not links.isEmpty():
+        # what is new joins components: a graph on these
+        between = durable(_labelled(_labelled(links, labels, "a", "p"), labels, "b", "q").select("a", "b", "p", "q"))
+        joined = connected_components(between.select(F.col("p").alias("a"), F.col("q").alias("b")))
+        nodes = labels.unionByName(between.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("p").alias("comp")), F.struct(F.col("b").alias("node"), F.col("q").alias("comp")))).alias("s")).select("s.*")).distinct()
+        labels = durable(_labelled(nodes.select("node", F.col("comp").alias("part")), joined, "part", "comp").select("node", "comp"))
+    discard(pairs, stars, crossing)
+    return labels

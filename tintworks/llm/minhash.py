@@ -32,8 +32,8 @@ class Bands:
 
 @lru_cache(maxsize=4)
 def _orders(bins: int) -> np.ndarray:
-    """orders[i, b]: the place of bin b in the order in which empty bin i asks the others."""
-    return np.random.default_rng(20_170).permuted(np.tile(np.arange(bins, dtype=np.uint16), (bins, 1)), axis=1)
+    """orders[t, i]: the bin that empty bin i asks in its turn t."""
+    return np.ascontiguousarray(np.random.default_rng(20_170).permuted(np.tile(np.arange(bins, dtype=np.int64), (bins, 1)), axis=1).T)
 
 
 def signatures(hashes: np.ndarray, owners: np.ndarray, n: int, bins: int) -> np.ndarray:
@@ -43,17 +43,20 @@ def signatures(hashes: np.ndarray, owners: np.ndarray, n: int, bins: int) -> np.
     """
     out = np.full(n * bins, EMPTY, dtype=np.uint32)
     if len(hashes):
-        cell = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)) + owners.astype(np.uint64) * np.uint64(bins)
-        packed = np.sort(cell << np.uint64(32) | np.minimum(hashes & np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)))
-        cells = (packed >> np.uint64(32)).astype(np.int64)
-        first = np.concatenate([[True], cells[1:] != cells[:-1]])
-        out[cells[first]] = packed[first].astype(np.uint32)
+        cells = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + np.asarray(owners, dtype=np.int64) * bins
+        np.minimum.at(out, cells, np.minimum(hashes & np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    own = out.reshape(n, bins).copy()
     out = out.reshape(n, bins)
-    empty = out == EMPTY
-    orders = _orders(bins)
-    for row in np.flatnonzero(empty.any(axis=1) & ~empty.all(axis=1)):
-        full, holes = np.flatnonzero(~empty[row]), np.flatnonzero(empty[row])
-        out[row, holes] = out[row, full[orders[holes[:, None], full[None, :]].argmin(axis=1)]]
+    some = (own != EMPTY).any(axis=1)
+    rows, holes = np.nonzero((own == EMPTY) & some[:, None])
+    # every turn, all holes that are left ask the next bin of their order
+    for asked in _orders(bins):
+        if not len(rows):
+            break
+        given = own[rows, asked[holes]]
+        found = given != EMPTY
+        out[rows[found], holes[found]] = given[found]
+        rows, holes = rows[~found], holes[~found]
     return out
 
 

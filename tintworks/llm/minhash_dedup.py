@@ -11,7 +11,8 @@ probability 0.99999, so hardly any link is missed.
 Edge cases: null and empty texts have 0 shingles and stand alone, kept; rows that
 repeat an id and its text are one class and get the same result; component_id is
 the smallest id that is not null, and null where all are; a row with a null id is
-kept only where its component_id is null; an empty table gives an empty result.
+kept only where its component_id is null; an empty table gives an empty result;
+columns of any name pass through where rows are dropped.
 """
 
 from __future__ import annotations
@@ -23,14 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
-from .links import bucket_members, linked_components
+from .common import column, discard, durable, given, release, row_key, small
+from .links import bucket_members, linked_components, set_column
 from .minhash import Bands, band_keys, signatures
 from .textkernel import Chunk, chunks, lower_ascii, mix64, row_shingles, span_hashes
 
-#: Up to so many nodes (8 bytes each) are broadcast to fetch their texts; more are joined by a shuffle.
-BROADCAST_NODES = 500_000
-
 
 @dataclass(frozen=True)
 class NearDupConfig:
@@ -75,91 +73,62 @@ def _described(text: Column, config: NearDupConfig) -> Column:
     return kernel.asNondeterministic()(text)
 
 
-def measured_sets(sets_of, extra: bool):
-    """A function of two string columns: sizes, common elements and, with `extra`, the first set's others.
-
-    `sets_of` turns a string array into a list of sorted arrays of element hashes.
-    """
-
-    @F.arrow_udf("struct<n_a:bigint,n_b:bigint,common:bigint,extra:array<bigint>>")
-    def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
-        counts, others = [], []
-        for x, y in zip(sets_of(left), sets_of(right)):
-            both = np.intersect1d(x, y, assume_unique=True)
-            counts.append((len(x), len(y), len(both)))
-            others.append(np.setdiff1d(x, both, assume_unique=True) if extra else x[:0])
-        offsets = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *others]).view(np.int64)
-        table = np.array(counts, dtype=np.int64).reshape(-1, 3)
-        columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)]
-        return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["n_a", "n_b", "common", "extra"])
-
-    return kernel.asNondeterministic()
-
-
-def measure_pairs(pairs: DataFrame, texts: DataFrame, sets_of, extra: bool) -> DataFrame:
-    """(a, b, n_a, n_b, common, extra) of (a, b) pairs, with (node, text) for every node."""
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(a, "a").join(b, "b")
-    return joined.withColumn("m", measured_sets(sets_of, extra)(F.col("ta"), F.col("tb"))).select("a", "b", "m.*")
-
-
-def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    out = []
-    for chunk in chunks(column):
-        hashes, bounds = _chunk_shingles(chunk, width)
-        out += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-    return out
-
-
-def _row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id.isNull(), doc_id, text)
+def _sets(text: Column, config: NearDupConfig) -> Column:
+    """The set of each text, as sorted hashes."""
 
+    @F.arrow_udf("binary")
+    def kernel(column: pa.Array) -> pa.Array:
+        out = []
+        for chunk in chunks(column):
+            hashes, bounds = _chunk_shingles(chunk, config.width)
+            out += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        return set_column(out)
 
-def fetch(frame: DataFrame, nodes: DataFrame, on: str) -> DataFrame:
-    """Rows of `frame` whose `on` is in `nodes`: by a broadcast up to a checked size, by a shuffle beyond."""
-    return frame.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, on)
+    return kernel.asNondeterministic()(text)
 
 
 def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, row_key) for each row of `docs`.
+    """(doc_id, n_shingles, component_id, kept, row_key, first) for each row of `docs`.
 
     component_id is the smallest id among the documents reachable over links, and
-    kept tells whether it is the row's own.  row_key identifies id and text.
+    kept tells whether it is the row's own.  row_key identifies id and text; first
+    is the row_key of the component's first row: the smallest id (null last), then
+    the smallest row_key; a row without a set is its own first.
     """
     config = config or NearDupConfig()
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _row_key(F.col(doc_id), F.col(text)).alias("row_key"))
-    rows = durable(given.withColumn("s", _described(F.col("text"), config)).select("doc_id", "row_key", F.monotonically_increasing_id().alias("row"), "s.*"))
-    classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
-    classes = durable(classes)
+    rows_in = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    rows = durable(rows_in.select("doc_id", "row_key", F.monotonically_increasing_id().alias("row"), _described(F.col("text"), config).alias("s")).select("doc_id", "row_key", "row", "s.*"))
+    # equal sets are one unit, the first row of it stands for all
+    classes = durable(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key")).alias("least")))
     heads = rows.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    postings = heads.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    members = durable(bucket_members(postings))
+    members = durable(bucket_members(heads.select(F.col("row").alias("node"), F.explode("keys").alias("key"))))
+    release(docs.sparkSession)
     nodes = members.select("node").distinct()
-    wanted = durable(rows.select("row", "row_key").join(nodes, F.col("row") == F.col("node")).select("node", "row_key"))
+    wanted = durable(rows.select("row", F.col("row_key").alias("wanted")).join(nodes, F.col("row") == F.col("node")).select("node", "wanted"))
     # rows that repeat an id and its text share a row_key, and any of them will do
-    texts = durable(fetch(given.select("row_key", "text"), wanted, "row_key").select("node", "text").dropDuplicates(["node"]))
+    found = rows_in.join(small(wanted), F.col("row_key") == F.col("wanted")).select("node", _sets(F.col("text"), config).alias("items"))
+    sets = durable(found.dropDuplicates(["node"]))
 
-    labels = linked_components(members, lambda pairs, extra: measure_pairs(pairs, texts, lambda c: _sets(c, config.width), extra), config.percent)
-    labelled = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("x")
-    least = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id")).withColumnRenamed("comp", "c")
-    found = labelled.join(least, F.col("comp") == F.col("c")).select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("n").alias("xn"), "component_id")
-    joined = rows.join(found, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")) & (F.col("n") == F.col("xn")), "left")
-    own = F.when(F.col("xn").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "row_key")
+    labels = linked_components(members, sets, config.percent)
+    discard(members, sets, wanted)
+    comp = F.coalesce(F.col("comp"), F.col("node"))
+    labelled = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("h1", "h2", F.col("n").alias("xn"), "least", comp.alias("comp"))
+    least = labelled.groupBy("comp").agg(F.min("least").alias("of")).select(F.col("comp").alias("c"), "of")
+    known = labelled.join(least, F.col("comp") == F.col("c")).select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "xn", "of")
+    joined = rows.join(known, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")) & (F.col("n") == F.col("xn")), "left")
+    own = F.when(F.col("xn").isNull(), F.col("doc_id")).otherwise(F.col("of.doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "row_key", F.coalesce("of.row_key", "row_key").alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of `docs` for each group: the one of the smallest id.
+    """One row of `docs` for each group: the one of the smallest id, then of the smallest digest of id and text.
 
-    Rows that repeat an id and its text are one document, of which one row stays.
-    Where all ids of a group are null, one row of each text stays.
+    Null ids come last.  Rows that repeat an id and its text are one document, of
+    which one row stays; rows without a word are no one's duplicates but their own.
     """
     found = near_duplicates(docs, config, doc_id=doc_id, text=text)
-    kept = found.where("kept").groupBy("row_key").agg(F.count("*").alias("copies"))
-    (key, copies) = fresh(docs.columns, "row_key", "copies")
-    kept = kept.select(F.col("row_key").alias(key), F.col("copies").alias(copies))
-    joined = docs.withColumn(key, _row_key(docs[doc_id], docs[text])).join(kept, key)
+    firsts = found.where("row_key = first").groupBy("row_key").agg(F.count("*").alias("copies")).withColumnRenamed("row_key", "first")
+    joined = docs.select(given(docs).alias("given"), row_key(column(doc_id), column(text)).alias("row_key")).join(firsts, F.col("row_key") == F.col("first"))
     # only rows that occur twice need a comparison
-    single = joined.where(F.col(copies) == 1)
-    return single.unionByName(joined.where(F.col(copies) > 1).dropDuplicates([key])).select(*docs.columns)
+    single = joined.where("copies = 1").select("given", "row_key")
+    return single.unionByName(joined.where("copies > 1").select("given", "row_key").dropDuplicates(["row_key"])).select("given.*")

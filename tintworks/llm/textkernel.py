@@ -8,6 +8,8 @@ word, so they agree between tasks, machines and runs.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,8 +21,9 @@ IS_SEP[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_ODD = 0x9E3779B97F4A7C15
+#: Longer spans are hashed by a digest.
+_BLOCKS = 8
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -34,29 +37,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One pseudo-random word for each byte value.
-BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n + 1:
-            size = max(n + 1, 1 << 16)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def utf8_views(column: pa.Array) -> list[np.ndarray]:
     """One read-only uint8 view for each row; null rows are empty.  No copies."""
     if pa.types.is_null(column.type):
@@ -111,14 +91,36 @@ def chunks(column: pa.Array, limit: int = 1 << 18):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: a polynomial in its byte codes, finalised with its length."""
+    """A 64-bit hash of each span: blocks of eight bytes mixed in one after the other, a digest beyond 64 bytes.
+
+    Each step is a bijection of the state and is not linear in it, so spans of up to
+    eight bytes never collide and longer ones only by chance.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _POWERS.upto(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    own = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(own ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    sizes = (ends - starts).astype(np.int64)
+    out = mix64(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    active, at = np.flatnonzero((sizes > 0) & (sizes <= 8 * _BLOCKS)), 0
+    while len(active):
+        left = sizes[active] - at
+        block = blocks[starts[active] + at].view(np.uint64).ravel()
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        state = (out[active] ^ block) * np.uint64(_ODD)
+        state ^= state >> np.uint64(32)
+        state *= np.uint64(0xFF51AFD7ED558CCD)
+        out[active] = state ^ (state >> np.uint64(29))
+        active, at = active[left > 8], at + 8
+    out = mix64(out)
+    for i in np.flatnonzero(sizes > 8 * _BLOCKS):
+        out[i] = digest128(data[starts[i] : ends[i]])[0]
+    return out
+
+
+def digest128(data: bytes | np.ndarray) -> np.ndarray:
+    """A 128-bit digest, as two 64-bit words."""
+    return np.frombuffer(blake2b(data, digest_size=16).digest(), dtype=np.uint64)
 
 
 def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
@@ -128,7 +130,7 @@ def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = np.full(n, np.uint64(width), dtype=np.uint64)
     for k in range(width):
-        out = (out ^ items[k : k + n]) * np.uint64(_BASE)
+        out = (out ^ items[k : k + n]) * np.uint64(_ODD)
         out ^= out >> np.uint64(29)
     return mix64(out)
 
@@ -156,10 +158,3 @@ def row_shingles(items: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -
     first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     h, o = h[first], o[first]
     return h, np.searchsorted(o, np.arange(n_rows + 1))
-
-
-def binary_column(rows: np.ndarray) -> pa.Array:
-    """Fixed-width rows of a C-contiguous 2-D array as an Arrow binary column."""
-    n, width = len(rows), rows.dtype.itemsize * rows.shape[1]
-    offsets = np.arange(n + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
