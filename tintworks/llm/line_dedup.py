@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, discard, durable, given, release, row_key, small
-from .links import bucket_members, linked_components, set_column
+from .links import bucket_members, linked_components
 from .minhash import Bands, band_keys, signatures
 from .textkernel import digest128, lower_ascii, mix64, span_hashes, utf8_views
 
@@ -156,27 +156,32 @@ def _coded_lines(text: Column, config: LineConfig) -> Column:
     return kernel.asNondeterministic()(text)
 
 
-def _line_sets(text: Column, places: Column, config: LineConfig) -> Column:
-    """The character shingle sets, as sorted hashes, of the lines of each text at `places`."""
+def _line_forms(text: Column, places: Column, config: LineConfig) -> Column:
+    """The compared forms of the lines of each text at `places`."""
 
-    @F.arrow_udf("array<binary>")
+    @F.arrow_udf("array<string>")
     def kernel(column: pa.Array, wanted: pa.Array) -> pa.Array:
         forms, counts = [], [0]
         for view, some in zip(utf8_views(column), wanted.to_pylist()):
             known = dict(zip(*_compared_lines(view, config.min_words)))
             forms += [known[p] for p in some]
             counts.append(len(forms))
-        out: list[np.ndarray] = []
-        for data, starts, ends in _form_chunks(forms):
-            hashes, owners = _char_shingles(data, starts, ends, config.width)
-            order = np.argsort(owners, kind="stable")
-            bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
-            out += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
-        return pa.ListArray.from_arrays(pa.array(np.array(counts, dtype=np.int32)), set_column(out))
+        return pa.ListArray.from_arrays(pa.array(np.array(counts, dtype=np.int32)), pa.array(forms, pa.binary()).cast(pa.string()))
 
     return kernel.asNondeterministic()(text, places)
 
 
+def _form_sets(items: pa.Array, width: int) -> list[np.ndarray]:
+    """The character shingle set of each compared form, as sorted hashes."""
+    out: list[np.ndarray] = []
+    for data, starts, ends in _form_chunks([v.tobytes() for v in utf8_views(items)]):
+        hashes, owners = _char_shingles(data, starts, ends, width)
+        order = np.argsort(owners, kind="stable")
+        bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
+        out += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
+    return out
+
+
 def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) -> DataFrame:
     """(h1, h2, comp) for the distinct lines that have a link to a different line."""
     n, spark = config.bands.bands, coded.sparkSession
@@ -193,13 +198,13 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     wanted = units.select("node", "row", "place").join(nodes, F.col("node") == F.col("x"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
     wanted = durable(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines"))
     # rows that repeat an id and its text share a row_key, and any of them will do
-    found = texts.join(small(wanted), F.col("row_key") == F.col("wanted")).select("lines", _line_sets(F.col("text"), F.col("lines.place"), config).alias("items"))
-    sets = found.select(F.explode(F.arrays_zip(F.col("lines.node").alias("node"), "items")).alias("s")).select("s.node", "s.items")
-    sets = durable(sets.dropDuplicates(["node"]))
+    found = texts.join(small(wanted), F.col("row_key") == F.col("wanted")).select("lines", _line_forms(F.col("text"), F.col("lines.place"), config).alias("items"))
+    forms = found.select(F.explode(F.arrays_zip(F.col("lines.node").alias("node"), "items")).alias("s")).select("s.node", "s.items")
+    forms = durable(forms.dropDuplicates(["node"]))
     release(spark)
-    labels = linked_components(members, sets, config.percent)
+    labels = linked_components(members, forms, config.percent, lambda items: _form_sets(items, config.width))
     found = durable(units.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp"))
-    discard(units, members, sets, wanted)
+    discard(units, members, forms, wanted)
     return found
 
 

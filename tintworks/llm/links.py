@@ -27,13 +27,15 @@ bound: no link is lost, and pairs don't grow with the square of a group of copie
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, durable, release, small
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -80,19 +82,29 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return found
 
 
+#: Turns a column of units' items into their sets, as sorted arrays of element hashes.
+Decode = Callable[[pa.Array], list[np.ndarray]]
+
+
 def set_column(sets: list[np.ndarray]) -> pa.Array:
-    """Sets as binary values: their elements' hashes, sorted."""
+    """Sets as binary values, which `stored_sets` reads."""
     return pa.array([np.ascontiguousarray(s, dtype=np.uint64).tobytes() for s in sets], pa.binary())
 
 
-def _kernel(differences: bool):
-    """A function of two columns of sets: their sizes and common elements, or the elements that only one has."""
+def stored_sets(items: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in items]
+
+
+def _kernel(decode: Decode, differences: bool):
+    """A function of two columns of items: their sets' sizes and common elements, or the elements that only one has."""
 
     @F.arrow_udf("array<bigint>" if differences else "struct<n_a:bigint,n_b:bigint,common:bigint>")
     def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
         others, counts = [np.zeros(0, dtype=np.uint64)], []
-        for a, b in zip(left, right):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
+        # a hot centre's set is worked out once in a batch
+        (xs, x_at), (ys, y_at) = ((decode(d.dictionary), d.indices.to_numpy()) for d in (left.dictionary_encode(), right.dictionary_encode()))
+        for i, j in zip(x_at, y_at):
+            x, y = xs[i], ys[j]
             if differences:
                 others.append(np.setxor1d(x, y, assume_unique=True))
             else:
@@ -107,15 +119,15 @@ def _kernel(differences: bool):
     return kernel.asNondeterministic()
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) pairs with the sets of both; the side of the hot centres comes last, where adaptive splitting deals it anew."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("set_b"))
+def _with_items(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """(a, b) pairs with the items of both; the side of the hot centres comes last, where adaptive splitting deals it anew."""
+    a, b = units.select(F.col("node").alias("a"), F.col("items").alias("items_a")), units.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     return pairs.join(a, "a").join(b, "b")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, units: DataFrame, decode: Decode) -> DataFrame:
     """(a, b, n_a, n_b, common) of the full sets of (a, b) pairs, with (node, items) for every node."""
-    return _with_sets(pairs, sets).select("a", "b", _kernel(False)("set_a", "set_b").alias("m")).select("a", "b", "m.*")
+    return _with_items(pairs, units).select("a", "b", _kernel(decode, False)("items_a", "items_b").alias("m")).select("a", "b", "m.*")
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, node: str, comp: str) -> DataFrame:
@@ -125,45 +137,51 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, comp: str) -> Data
 
 
 def _open_stars(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(centre, node, comp, inside, d, e, m): the units of stars that may have links across components, and their bounds.
+    """(centre, node, comp, inside, e, m_in, m_out): the units of stars that may have links across components.
 
-    `inside` tells whether the unit is in the centre's component; d = |D|; m is the
-    least e of its possible partners, for those inside and outside of that component.
+    `inside` tells whether the unit is in the centre's component; m_in and m_out are
+    the least e inside and outside of it.  Of a unit and its partner one is outside.
     """
     w, v = 100 + percent, 100 - percent
     placed = _labelled(_labelled(stars, labels, "a", "comp"), labels, "b", "of")
     d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
     placed = placed.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", (F.col("comp") == F.col("of")).alias("inside"), d.alias("d"), (w * d - v * F.col("n_a")).alias("e"))
-    least = placed.groupBy("centre").agg(F.min(F.when(F.col("inside"), F.col("e"))).alias("m_in"), F.min(F.when(~F.col("inside"), F.col("e"))).alias("m_out")).where("m_out is not null").select(F.col("centre").alias("c"), "m_in", "m_out")
+    inner, outer = F.when(F.col("inside"), F.col("e")), F.when(~F.col("inside"), F.col("e"))
+    least = placed.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(inner).alias("m_in"), F.min(outer).alias("m_out")).where("low < high").select(F.col("centre").alias("c"), "m_in", "m_out")
     met = placed.join(least, F.col("centre") == F.col("c")).drop("c")
     # no more elements can be common than D has
-    return met.where((2 * w * F.col("d") >= F.col("e") + F.col("m_out")) | (~F.col("inside") & (2 * w * F.col("d") >= F.col("e") + F.col("m_in"))))
+    met = met.where((2 * w * F.col("d") >= F.col("e") + F.col("m_out")) | (~F.col("inside") & (2 * w * F.col("d") >= F.col("e") + F.col("m_in"))))
+    return met.select("centre", "node", "comp", "inside", "e", "m_in", "m_out")
 
 
-def _crossing_pairs(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing_pairs(stars: DataFrame, labels: DataFrame, units: DataFrame, decode: Decode, percent: int) -> DataFrame:
     """(a, b) of one star and different components that share an element within their prefixes."""
     w2 = 2 * (100 + percent)
-    units = durable(_open_stars(stars, labels, percent))
-    if units.isEmpty():
-        return units.select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    told = _with_sets(units.withColumnsRenamed({"node": "a", "centre": "b"}), sets).withColumn("token", _kernel(True)("set_a", "set_b"))
-    tokens = durable(told.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", "inside", "e", "m_in", "m_out", F.explode("token").alias("token")))
-    # elements of one component can't join two, and are counted as if they came first
-    crossed = tokens.groupBy("centre", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("centre").alias("c"), F.col("token").alias("t"), "held")
-    left = tokens.join(crossed, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).drop("c", "t")
-    own = W.partitionBy("centre", "node")
-    ranked = left.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("held", "token"))})
-    after = F.col("n") - F.col("at") + 1  # elements from this one on
-    reach = lambda m: (w2 * after >= F.col("e") + m) & (after >= 1)  # noqa: E731  few enough before it that the bound can be met
-    ranked = ranked.withColumns({"after": after, "outer": ~F.col("inside") & reach(F.col("m_out")), "mixed": F.coalesce(F.when(F.col("inside"), reach(F.col("m_out"))).otherwise(reach(F.col("m_in"))), F.lit(False))})
-    ranked = durable(ranked.where("outer or mixed").select("centre", "token", "node", "comp", "inside", "e", "after", "outer", "mixed"))
-    discard(units, tokens)
+    open_ = durable(_open_stars(stars, labels, percent))
+    spark = open_.sparkSession
+    if open_.isEmpty():
+        return durable(open_.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    told = _with_items(open_.withColumnsRenamed({"node": "a", "centre": "b"}), units).select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", "inside", "e", "m_in", "m_out", _kernel(decode, True)("items_a", "items_b").alias("elements"))
+    told = durable(told.withColumn("unit", F.monotonically_increasing_id()))
+    discard(open_)
+    element = F.explode("elements").alias("element")
+    # the elements of one component can't join two: they count as if they came first
+    by_star = told.select("centre", "comp", element).groupBy("centre", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held"))
+    crossed = durable(by_star.where("low < high").select(F.col("centre").alias("c"), F.col("element").alias("t"), "held"))
+    left = durable(told.select("centre", "unit", element).join(small(crossed), (F.col("centre") == F.col("c")) & (F.col("element") == F.col("t"))).select("unit", "element", "held"))
+    release(spark)
+    own = W.partitionBy("unit")
+    ranked = left.withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("held", "element")) + 1)  # elements from this one on
+    ranked = ranked.withColumnRenamed("unit", "u").join(told.drop("elements"), F.col("u") == F.col("unit"))
+    reach = lambda m: w2 * F.col("after") >= F.col("e") + m  # noqa: E731  few enough come before it
+    ranked = ranked.withColumns({"outer": ~F.col("inside") & reach(F.col("m_out")), "mixed": F.coalesce(F.when(F.col("inside"), reach(F.col("m_out"))).otherwise(reach(F.col("m_in"))), F.lit(False))})
+    ranked = durable(ranked.where("outer or mixed").select("centre", "element", "node", "comp", "inside", "e", "after", "outer", "mixed"))
     other = ranked.select(*[F.col(c).alias(f"{c}_") for c in ranked.columns])
-    same = (F.col("centre") == F.col("centre_")) & (F.col("token") == F.col("token_")) & (F.col("comp") != F.col("comp_")) & (w2 * F.least("after", "after_") >= F.col("e") + F.col("e_"))
+    same = (F.col("centre") == F.col("centre_")) & (F.col("element") == F.col("element_")) & (F.col("comp") != F.col("comp_")) & (w2 * F.least("after", "after_") >= F.col("e") + F.col("e_"))
     outer = ranked.where("outer").join(other.where("outer_"), same & (F.col("node") > F.col("node_")))
     mixed = ranked.where("inside and mixed").join(other.where("not inside_ and mixed_"), same)
     pairs = durable(outer.select("node", "node_").unionByName(mixed.select(F.greatest("node", "node_").alias("node"), F.least("node", "node_").alias("node_"))).distinct().toDF("a", "b"))
-    discard(ranked)
+    discard(told, crossed, left, ranked)
     return pairs
 
 
@@ -171,18 +189,18 @@ def is_link(percent: int) -> Column:
     return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
-def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of the nodes with a link, from the members of buckets and (node, items) with their sets.
+def linked_components(members: DataFrame, units: DataFrame, percent: int, decode: Decode = stored_sets) -> DataFrame:
+    """(node, comp) of the nodes with a link, from the members of buckets and (node, items) of each.
 
     Both must be cut from their lineage.  A hot centre's units are split by AQE where
     sets are joined; a hot element's only partners are those within their prefixes.
     """
     pairs = star_pairs(members)
-    stars = durable(measured(pairs, sets))
+    stars = durable(measured(pairs, units, decode))
     labels = durable(connected_components(stars.where(is_link(percent)).select("a", "b")))
-    crossing = _crossing_pairs(stars, labels, sets, percent)
+    crossing = _crossing_pairs(stars, labels, units, decode, percent)
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = durable(measured(crossing.join(tested, ["a", "b"], "left_anti"), sets).where(is_link(percent)).select("a", "b"))
+    links = durable(measured(crossing.join(tested, ["a", "b"], "left_anti"), units, decode).where(is_link(percent)).select("a", "b"))
     if not links.isEmpty():
         # what is new joins components: a graph on these
         between = durable(_labelled(_labelled(links, labels, "a", "p"), labels, "b", "q").select("a", "b", "p", "q"))
