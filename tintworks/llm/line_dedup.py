@@ -22,6 +22,7 @@ through, unless they have a result's name.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import column, discard, durable, given, release, row_key, small
 from .links import bucket_members, linked_components
 from .minhash import Bands, band_keys, signatures
-from .textkernel import digest128, lower_ascii, mix64, span_hashes, utf8_views
+from .textkernel import lower_ascii, mix64, span_hashes, utf8_views
 
 
 @dataclass(frozen=True)
 class LineConfig:
     width: int = 8
     percent: int = 80
-    bands: Bands = Bands(16, 4)
+    bands: Bands = Bands(12, 4)
     min_words: int = 1
     least_shingles: int = 4
 
@@ -134,10 +135,10 @@ def _coded_lines(text: Column, config: LineConfig) -> Column:
         for view in utf8_views(column):
             own_places, own = _compared_lines(view, config.min_words)
             for at, form in enumerate(own):
-                digest = digest128(form)
+                digest = blake2b(form, digest_size=16).digest()
                 digests.append(digest)
-                if _may_link(form, config) and (key := digest.tobytes()) not in known:
-                    known.add(key)
+                if _may_link(form, config) and digest not in known:
+                    known.add(digest)
                     banded.append(at)
                     forms.append(form)
             places += own_places
@@ -147,7 +148,7 @@ def _coded_lines(text: Column, config: LineConfig) -> Column:
         for data, starts, ends in _form_chunks(forms):
             hashes, owners = _char_shingles(data, starts, ends, config.width)
             keys.append(band_keys(signatures(hashes, owners, len(starts), shape.bins), shape))
-        table = np.array(digests, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        table = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), values)
         columns = [lists(n_lines, pa.array(places, pa.int32())), *(lists(n_lines, pa.array(np.ascontiguousarray(table[:, k]))) for k in range(2)), lists(n_banded, pa.array(banded, pa.int32()))]
         columns.append(lists(np.array(n_banded) * shape.bands, pa.array(np.concatenate(keys).ravel())))
@@ -163,8 +164,8 @@ def _line_forms(text: Column, places: Column, config: LineConfig) -> Column:
     def kernel(column: pa.Array, wanted: pa.Array) -> pa.Array:
         forms, counts = [], [0]
         for view, some in zip(utf8_views(column), wanted.to_pylist()):
-            known = dict(zip(*_compared_lines(view, config.min_words)))
-            forms += [known[p] for p in some]
+            lines = lower_ascii(view).tobytes().split(b"\n")
+            forms += [b" ".join(lines[p].split()) for p in some]
             counts.append(len(forms))
         return pa.ListArray.from_arrays(pa.array(np.array(counts, dtype=np.int32)), pa.array(forms, pa.binary()).cast(pa.string()))
 
@@ -176,9 +177,12 @@ def _form_sets(items: pa.Array, width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for data, starts, ends in _form_chunks([v.tobytes() for v in utf8_views(items)]):
         hashes, owners = _char_shingles(data, starts, ends, width)
-        order = np.argsort(owners, kind="stable")
-        bounds = np.searchsorted(owners[order], np.arange(len(starts) + 1))
-        out += [np.unique(hashes[order[x:y]]) for x, y in zip(bounds[:-1], bounds[1:])]
+        order = np.lexsort((hashes, owners))
+        hashes, owners = hashes[order], owners[order]
+        first = np.ones(len(hashes), dtype=bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
+        hashes, bounds = hashes[first], np.searchsorted(owners[first], np.arange(len(starts) + 1))
+        out += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
     return out
 
 
@@ -194,7 +198,7 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     release(spark)
     members = durable(bucket_members(units.select("node", F.explode(F.array(*names)).alias("key"))))
     release(spark)
-    nodes = members.select("node").distinct().withColumnRenamed("node", "x")
+    nodes = members.select(F.col("node").alias("x"))
     wanted = units.select("node", "row", "place").join(nodes, F.col("node") == F.col("x"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
     wanted = durable(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines"))
     # rows that repeat an id and its text share a row_key, and any of them will do

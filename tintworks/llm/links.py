@@ -15,11 +15,13 @@ elements that only one of D(x) and D(y) has.  At a similarity of p percent,
 and the right side is above 0 where x or y is not linked with c.  (If y isn't,
 (100 + p) * |D(y)| > (100 - p) * (|y| + |c|), and |D(x)| >= ||x| - |c||, so the sum
 exceeds (100 + p) * |D(x)| + (100 - p) * (|c| - |x|) >= 0.)  Hence the two share an
-element of their differences.  These are few beside a near centre.  A prefix filter
-finds the pairs: elements are ordered by how many units of the star have them, the
-rarest first, and two units with so many common elements have one among the first
-of each, so that only those are joined.  What all copies have lies last and is
-joined by none.
+element of their differences.  These are few beside a near centre, and a prefix
+filter finds the pairs: two units with so many common elements have one among the
+first of each D, in any order that all of a star keep to, and only those are joined.
+In stars of more than MANY units the order is by how many of them have an element,
+the rarest first, so that what many copies have comes last and joins none of them.
+In smaller ones, where a unit has few partners anyway, what x has besides c comes
+first, then what it lacks of c, each by hash; so only the first have to be told.
 
 So every two members of a bucket are joined already, compared, or excluded by their
 bound: no link is lost, and pairs don't grow with the square of a group of copies.
@@ -27,7 +29,7 @@ bound: no link is lost, and pairs don't grow with the square of a group of copie
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, durable, release, small
+from .common import discard, durable
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -61,27 +63,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_members(postings: DataFrame) -> DataFrame:
-    """(key, node, held) of the buckets with two nodes or more, from (key, node); held is the bucket's size.
+    """(node, rank, keys): the buckets with two nodes or more of each node, and their sizes' sum, from (key, node).
 
     One shuffle by key serves the counts and the members.
     """
     dealt = postings.repartition("key")
     several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held")
-    return dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "held")
+    members = dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k"))
+    return members.groupBy("node").agg(F.sum("held").alias("rank"), F.collect_list("key").alias("keys"))  # a node has a key for each band
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of each node a and the other centres b of its buckets, from the members of buckets."""
-    central = members.groupBy("node").agg(F.sum("held").alias("rank")).withColumnRenamed("node", "n")
-    ranked = durable(members.join(central, F.col("node") == F.col("n")).select("key", "node", "rank"))
+    """(a, b) of each node a and the other centres b of its buckets."""
+    ranked = members.select("node", "rank", F.explode("keys").alias("key"))
     # the largest rank, then the smallest node of that rank
-    top = ranked.groupBy("key").agg(F.max("rank").alias("top")).withColumnRenamed("key", "k")
-    best = ranked.join(top, (F.col("key") == F.col("k")) & (F.col("rank") == F.col("top"))).groupBy("key").agg(F.min("node").alias("c")).withColumnRenamed("key", "k")
-    found = durable(ranked.join(best, F.col("key") == F.col("k")).where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct())
-    discard(ranked)
-    return found
+    best = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("back"))).alias("best")).select(F.col("key").alias("k"), (-F.col("best.back")).alias("c"))
+    return durable(ranked.join(best, F.col("key") == F.col("k")).where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct())
 
 
+#: Stars of more units have their elements counted.
+MANY = 32
+
 #: Turns a column of units' items into their sets, as sorted arrays of element hashes.
 Decode = Callable[[pa.Array], list[np.ndarray]]
 
@@ -95,30 +97,44 @@ def stored_sets(items: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in items]
 
 
-def _kernel(decode: Decode, differences: bool):
-    """A function of two columns of items: their sets' sizes and common elements, or the elements that only one has."""
+def _paired(decode: Decode, left: pa.Array, right: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of each row's two items; a hot centre's is worked out once in a batch."""
+    (xs, x_at), (ys, y_at) = ((decode(d.dictionary), d.indices.to_numpy()) for d in (left.dictionary_encode(), right.dictionary_encode()))
+    return ((xs[i], ys[j]) for i, j in zip(x_at, y_at))
+
+
+def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of x are in y, both sorted."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), dtype=bool)
+
+
+def _measures(decode: Decode):
+    """A function of two columns of items: the sizes of their sets and of the intersection."""
 
-    @F.arrow_udf("array<bigint>" if differences else "struct<n_a:bigint,n_b:bigint,common:bigint>")
+    @F.arrow_udf("struct<n_a:bigint,n_b:bigint,common:bigint>")
     def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
-        others, counts = [np.zeros(0, dtype=np.uint64)], []
-        # a hot centre's set is worked out once in a batch
-        (xs, x_at), (ys, y_at) = ((decode(d.dictionary), d.indices.to_numpy()) for d in (left.dictionary_encode(), right.dictionary_encode()))
-        for i, j in zip(x_at, y_at):
-            x, y = xs[i], ys[j]
-            if differences:
-                others.append(np.setxor1d(x, y, assume_unique=True))
-            else:
-                at = np.searchsorted(y, x)
-                counts.append((len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0))
-        if differences:
-            offsets = np.cumsum([len(o) for o in others]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(others).view(np.int64)))
+        counts = [(len(x), len(y), np.count_nonzero(_inside(x, y))) for x, y in _paired(decode, left, right)]
         table = np.array(counts, dtype=np.int64).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)], ["n_a", "n_b", "common"])
 
     return kernel.asNondeterministic()
 
 
+def _prefixes(decode: Decode):
+    """A function of units' items, their centres' and a number: so many elements that only one has, those of the unit first."""
+
+    @F.arrow_udf("array<bigint>")
+    def kernel(left: pa.Array, right: pa.Array, sizes: pa.Array) -> pa.Array:
+        first = []
+        for (x, y), size in zip(_paired(decode, left, right), sizes.to_numpy()):
+            own = x[~_inside(x, y)][:size]
+            first.append(own if len(own) == size else np.concatenate([own, y[~_inside(y, x)][: size - len(own)]]))
+        offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *first]).view(np.int64)))
+
+    return kernel.asNondeterministic()
+
+
 def _with_items(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """(a, b) pairs with the items of both; the side of the hot centres comes last, where adaptive splitting deals it anew."""
     a, b = units.select(F.col("node").alias("a"), F.col("items").alias("items_a")), units.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
@@ -127,7 +143,7 @@ def _with_items(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 def measured(pairs: DataFrame, units: DataFrame, decode: Decode) -> DataFrame:
     """(a, b, n_a, n_b, common) of the full sets of (a, b) pairs, with (node, items) for every node."""
-    return _with_items(pairs, units).select("a", "b", _kernel(decode, False)("items_a", "items_b").alias("m")).select("a", "b", "m.*")
+    return _with_items(pairs, units).select("a", "b", _measures(decode)("items_a", "items_b").alias("m")).select("a", "b", "m.*")
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, node: str, comp: str) -> DataFrame:
@@ -137,51 +153,52 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, comp: str) -> Data
 
 
 def _open_stars(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(centre, node, comp, inside, e, m_in, m_out): the units of stars that may have links across components.
+    """(centre, node, comp, inside, many, n, d, e, outer, mixed): the units of stars that may have links across components.
 
-    `inside` tells whether the unit is in the centre's component; m_in and m_out are
-    the least e inside and outside of it.  Of a unit and its partner one is outside.
+    `inside` tells whether the unit is in the centre's component.  Of a unit and its
+    partner one is outside; outer and mixed are the least numbers of elements that
+    their differences have in common, where both are and where one of them is.
     """
     w, v = 100 + percent, 100 - percent
     placed = _labelled(_labelled(stars, labels, "a", "comp"), labels, "b", "of")
-    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
-    placed = placed.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", (F.col("comp") == F.col("of")).alias("inside"), d.alias("d"), (w * d - v * F.col("n_a")).alias("e"))
+    d, n = F.col("n_a") + F.col("n_b") - 2 * F.col("common"), F.col("n_a")
+    placed = placed.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", (F.col("comp") == F.col("of")).alias("inside"), n.alias("n"), d.alias("d"), (w * d - v * n).alias("e"))
     inner, outer = F.when(F.col("inside"), F.col("e")), F.when(~F.col("inside"), F.col("e"))
-    least = placed.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(inner).alias("m_in"), F.min(outer).alias("m_out")).where("low < high").select(F.col("centre").alias("c"), "m_in", "m_out")
-    met = placed.join(least, F.col("centre") == F.col("c")).drop("c")
-    # no more elements can be common than D has
-    met = met.where((2 * w * F.col("d") >= F.col("e") + F.col("m_out")) | (~F.col("inside") & (2 * w * F.col("d") >= F.col("e") + F.col("m_in"))))
-    return met.select("centre", "node", "comp", "inside", "e", "m_in", "m_out")
+    least = placed.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), (F.count("*") > MANY).alias("many"), F.min(inner).alias("m_in"), F.min(outer).alias("m_out")).where("low < high").select(F.col("centre").alias("c"), "many", "m_in", "m_out")
+    met = placed.join(least, F.col("centre") == F.col("c"))
+    # no link differs from the unit in more than v / p of its elements, so the rest of D is common
+    rest = F.col("d") - F.floor(v * F.col("n") / percent)
+    need = lambda m: F.greatest(F.ceil((F.col("e") + m) / (2 * w)), rest, F.lit(1))
+    needs = met.withColumns({"outer": F.when(~F.col("inside"), need(F.col("m_out"))), "mixed": F.when(F.col("inside"), need(F.col("m_out"))).when(F.col("m_in").isNotNull(), need(F.col("m_in")))})
+    return needs.where("outer <= d or mixed <= d").select("centre", "node", "comp", "inside", "many", "n", "d", "e", "outer", "mixed")
 
 
 def _crossing_pairs(stars: DataFrame, labels: DataFrame, units: DataFrame, decode: Decode, percent: int) -> DataFrame:
     """(a, b) of one star and different components that share an element within their prefixes."""
-    w2 = 2 * (100 + percent)
     open_ = durable(_open_stars(stars, labels, percent))
-    spark = open_.sparkSession
     if open_.isEmpty():
         return durable(open_.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    told = _with_items(open_.withColumnsRenamed({"node": "a", "centre": "b"}), units).select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", "inside", "e", "m_in", "m_out", _kernel(decode, True)("items_a", "items_b").alias("elements"))
-    told = durable(told.withColumn("unit", F.monotonically_increasing_id()))
-    discard(open_)
-    element = F.explode("elements").alias("element")
-    # the elements of one component can't join two: they count as if they came first
-    by_star = told.select("centre", "comp", element).groupBy("centre", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held"))
-    crossed = durable(by_star.where("low < high").select(F.col("centre").alias("c"), F.col("element").alias("t"), "held"))
-    left = durable(told.select("centre", "unit", element).join(small(crossed), (F.col("centre") == F.col("c")) & (F.col("element") == F.col("t"))).select("unit", "element", "held"))
-    release(spark)
-    own = W.partitionBy("unit")
-    ranked = left.withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("held", "element")) + 1)  # elements from this one on
-    ranked = ranked.withColumnRenamed("unit", "u").join(told.drop("elements"), F.col("u") == F.col("unit"))
-    reach = lambda m: w2 * F.col("after") >= F.col("e") + m  # noqa: E731  few enough come before it
-    ranked = ranked.withColumns({"outer": ~F.col("inside") & reach(F.col("m_out")), "mixed": F.coalesce(F.when(F.col("inside"), reach(F.col("m_out"))).otherwise(reach(F.col("m_in"))), F.lit(False))})
-    ranked = durable(ranked.where("outer or mixed").select("centre", "element", "node", "comp", "inside", "e", "after", "outer", "mixed"))
-    other = ranked.select(*[F.col(c).alias(f"{c}_") for c in ranked.columns])
-    same = (F.col("centre") == F.col("centre_")) & (F.col("element") == F.col("element_")) & (F.col("comp") != F.col("comp_")) & (w2 * F.least("after", "after_") >= F.col("e") + F.col("e_"))
-    outer = ranked.where("outer").join(other.where("outer_"), same & (F.col("node") > F.col("node_")))
-    mixed = ranked.where("inside and mixed").join(other.where("not inside_ and mixed_"), same)
-    pairs = durable(outer.select("node", "node_").unionByName(mixed.select(F.greatest("node", "node_").alias("node"), F.least("node", "node_").alias("node_"))).distinct().toDF("a", "b"))
-    discard(told, crossed, left, ranked)
+    told_of = F.when(F.col("many"), F.col("d")).otherwise(F.col("d") - F.least("outer", "mixed") + 1).cast("int")
+    told = _with_items(open_.withColumnsRenamed({"node": "a", "centre": "b"}), units).withColumn("elements", _prefixes(decode)("items_a", "items_b", told_of))
+    told = durable(told.withColumnsRenamed({"a": "node", "b": "centre"}).drop("items_a", "items_b").withColumn("unit", F.monotonically_increasing_id()))
+    rest = ("unit", "centre", "node", "comp", "inside", "n", "e", "outer", "mixed")
+    few = told.where("not many").select(*rest, "d", F.posexplode("elements").alias("at", "element")).select(*rest, "element", (F.col("d") - F.col("at")).alias("after"))
+    # elements that one component has alone join nothing: they count as if they came first
+    each = told.where("many").select("centre", "unit", "comp", F.explode("elements").alias("element"))
+    counted = each.groupBy("centre", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("centre").alias("c"), F.col("element").alias("t"), "held")
+    own = W.partitionBy("u")
+    left = each.join(counted, (F.col("centre") == F.col("c")) & (F.col("element") == F.col("t"))).select(F.col("unit").alias("u"), "element", "held")
+    left = left.select("u", "element", (F.count("*").over(own) - F.row_number().over(own.orderBy("held", "element")) + 1).alias("after"))
+    several = told.where("many").join(left.withColumnRenamed("u", "unit"), "unit").select(*rest, "element", "after")
+    # `after` elements of the unit come from this one on
+    one = few.unionByName(several).where("after >= outer or after >= mixed")
+    one = durable(one.select("centre", "element", "node", "comp", "inside", "n", "e", "after", F.coalesce(F.col("after") >= F.col("outer"), F.lit(False)).alias("outer"), F.coalesce(F.col("after") >= F.col("mixed"), F.lit(False)).alias("mixed")))
+    two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
+    met = (F.col("centre") == F.col("centre_")) & (F.col("element") == F.col("element_")) & (F.col("comp") != F.col("comp_"))
+    fits = (2 * (100 + percent) * F.least("after", "after_") >= F.col("e") + F.col("e_")) & (100 * F.col("n") >= percent * F.col("n_")) & (100 * F.col("n_") >= percent * F.col("n"))
+    sides = (F.col("outer") & F.col("outer_") & (F.col("node") > F.col("node_"))) | (F.col("inside") & ~F.col("inside_") & F.col("mixed") & F.col("mixed_"))
+    pairs = durable(one.join(two, met & fits & sides).select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct())
+    discard(open_, told, one)
     return pairs
 
 
@@ -190,10 +207,10 @@ def is_link(percent: int) -> Column:
 
 
 def linked_components(members: DataFrame, units: DataFrame, percent: int, decode: Decode = stored_sets) -> DataFrame:
-    """(node, comp) of the nodes with a link, from the members of buckets and (node, items) of each.
+    """(node, comp) of the nodes with a link, from `bucket_members` and (node, items) of each.
 
     Both must be cut from their lineage.  A hot centre's units are split by AQE where
-    sets are joined; a hot element's only partners are those within their prefixes.
+    items are joined; a hot element is joined only where it is within both prefixes.
     """
     pairs = star_pairs(members)
     stars = durable(measured(pairs, units, decode))

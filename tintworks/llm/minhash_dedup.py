@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, *, doc
     heads = rows.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
     members = durable(bucket_members(heads.select(F.col("row").alias("node"), F.explode("keys").alias("key"))))
     release(docs.sparkSession)
-    nodes = members.select("node").distinct()
+    nodes = members.select("node")
     wanted = durable(rows.select("row", F.col("row_key").alias("wanted")).join(nodes, F.col("row") == F.col("node")).select("node", "wanted"))
     # rows that repeat an id and its text share a row_key, and any of them will do
     found = rows_in.join(small(wanted), F.col("row_key") == F.col("wanted")).select("node", _sets(F.col("text"), config).alias("items"))
