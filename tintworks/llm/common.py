@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: The columns of `documents`, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Up to so many rows of a few numbers are broadcast, once they are counted; more are joined by a shuffle.
+#: Up to so many rows or items of a few numbers are broadcast, once they are counted; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -40,9 +40,10 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(key.cast("binary")))
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """`frame`, cut from its lineage, marked for a broadcast if it is counted to be of few rows."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+def small(frame: DataFrame, items: str | None = None) -> DataFrame:
+    """`frame`, cut from its lineage, marked for a broadcast if it is counted to be of few rows, and few items in its array."""
+    rows, inside = frame.agg(F.count("*"), F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else F.lit(0)).first()
+    return F.broadcast(frame) if max(rows, inside) <= BROADCAST_ROWS else frame
 
 
 def durable(frame: DataFrame) -> DataFrame:

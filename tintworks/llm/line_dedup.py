@@ -44,15 +44,19 @@ class LineConfig:
     least_shingles: int = 4
 
 
+#: Texts with none of these have one space between words, if not at the ends of lines.
+_UNEVEN = (b"  ", b"\t", b"\v", b"\f", b"\r")
+
+
 def _compared_lines(view: np.ndarray, min_words: int) -> tuple[list[int], list[bytes]]:
     """Places and compared forms of a text's lines that have enough words."""
-    places, forms = [], []
-    for place, line in enumerate(lower_ascii(view).tobytes().split(b"\n")):
-        words = line.split()
-        if len(words) >= min_words:
-            places.append(place)
-            forms.append(b" ".join(words))
-    return places, forms
+    text = lower_ascii(view).tobytes()
+    if any(mark in text for mark in _UNEVEN):
+        forms = [b" ".join(line.split()) for line in text.split(b"\n")]
+    else:
+        forms = [line.strip(b" ") for line in text.split(b"\n")]
+    places = [place for place, form in enumerate(forms) if form and (min_words < 2 or form.count(b" ") + 1 >= min_words)]
+    return places, [forms[place] for place in places]
 
 
 def _may_link(form: bytes, config: LineConfig) -> bool:
@@ -96,27 +100,29 @@ def _windows(code: np.ndarray, width: int) -> np.ndarray:
 
 
 def _char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of each form, with repeats, and the form of each."""
+    """Hashes of the character shingles of each form, with repeats and form by form, and how many each has."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     stops = np.flatnonzero(points == 0x0A)
-    begins = np.concatenate([[0], stops[:-1] + 1])
+    sizes = np.diff(stops, prepend=-1) - 1
     code = _CODES[points] if len(points) and points.max() < len(_CODES) else mix64(points.astype(np.uint64) + np.uint64(1))
-    owner = np.repeat(np.arange(len(stops)), stops - begins + 1)
-    n = len(points) - width + 1
-    hashes, owners = [], []
-    if n > 0:
+    counts = np.maximum(sizes - width + 1, 0)
+    short = np.flatnonzero(counts == 0)
+    hashes = np.zeros(0, dtype=np.uint64)
+    if len(points) >= width:
         windows = _windows(code, width)
-        whole = np.flatnonzero(np.arange(n) + width <= stops[owner[:n]])
-        mixed = windows[whole]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xFF51AFD7ED558CCD)
-        mixed ^= mixed >> np.uint64(29)
-        hashes.append(mixed)
-        owners.append(owner[whole])
-    short = np.flatnonzero(stops - begins < width)
-    hashes.append(span_hashes(data, starts[short], ends[short]))
-    owners.append(short)
-    return np.concatenate(hashes), np.concatenate(owners)
+        inside = np.ones(len(points), dtype=bool)
+        for k in range(width):
+            inside[np.maximum(stops - k, 0)] = False  # a form's end would be within
+        if sizes[0] >= width:
+            inside[0] = True
+        hashes = windows[inside[: len(windows)]]
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xFF51AFD7ED558CCD)
+        hashes ^= hashes >> np.uint64(29)
+    # shorter forms are their own only shingle
+    hashes = np.insert(hashes, np.cumsum(counts)[short], span_hashes(data, starts[short], ends[short]))
+    counts[short] = 1
+    return hashes, counts
 
 
 def _coded_lines(text: Column, config: LineConfig) -> Column:
@@ -146,8 +152,8 @@ def _coded_lines(text: Column, config: LineConfig) -> Column:
             n_banded.append(len(banded))
         keys = [np.zeros((0, shape.bands), dtype=np.int64)]
         for data, starts, ends in _form_chunks(forms):
-            hashes, owners = _char_shingles(data, starts, ends, config.width)
-            keys.append(band_keys(signatures(hashes, owners, len(starts), shape.bins), shape))
+            hashes, counts = _char_shingles(data, starts, ends, config.width)
+            keys.append(band_keys(signatures(hashes, np.repeat(np.arange(len(counts)), counts), len(counts), shape.bins), shape))
         table = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), values)
         columns = [lists(n_lines, pa.array(places, pa.int32())), *(lists(n_lines, pa.array(np.ascontiguousarray(table[:, k]))) for k in range(2)), lists(n_banded, pa.array(banded, pa.int32()))]
@@ -176,13 +182,12 @@ def _form_sets(items: pa.Array, width: int) -> list[np.ndarray]:
     """The character shingle set of each compared form, as sorted hashes."""
     out: list[np.ndarray] = []
     for data, starts, ends in _form_chunks([v.tobytes() for v in utf8_views(items)]):
-        hashes, owners = _char_shingles(data, starts, ends, width)
-        order = np.lexsort((hashes, owners))
-        hashes, owners = hashes[order], owners[order]
-        first = np.ones(len(hashes), dtype=bool)
-        first[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-        hashes, bounds = hashes[first], np.searchsorted(owners[first], np.arange(len(starts) + 1))
-        out += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        hashes, counts = _char_shingles(data, starts, ends, width)
+        to = 0
+        for count in counts.tolist():
+            own = np.sort(hashes[to : to + count])
+            to += count
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
     return out
 
 
@@ -202,7 +207,7 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     wanted = units.select("node", "row", "place").join(nodes, F.col("node") == F.col("x"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
     wanted = durable(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines"))
     # rows that repeat an id and its text share a row_key, and any of them will do
-    found = texts.join(small(wanted), F.col("row_key") == F.col("wanted")).select("lines", _line_forms(F.col("text"), F.col("lines.place"), config).alias("items"))
+    found = texts.join(small(wanted, "lines"), F.col("row_key") == F.col("wanted")).select("lines", _line_forms(F.col("text"), F.col("lines.place"), config).alias("items"))
     forms = found.select(F.explode(F.arrays_zip(F.col("lines.node").alias("node"), "items")).alias("s")).select("s.node", "s.items")
     forms = durable(forms.dropDuplicates(["node"]))
     release(spark)
@@ -243,8 +248,9 @@ def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: st
     # the first line of each component; of rows that repeat an id and its text, each keeps it
     stay = copies.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("d"), "d", "place", "row_key")).alias("s")).select(F.col("s.row_key").alias("k"), F.col("s.place").alias("p"))
     gone = copies.join(stay, (F.col("row_key") == F.col("k")) & (F.col("place") == F.col("p")), "left_anti")
-    by_doc = gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("row_key", "k")
+    by_doc = durable(gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("row_key", "k"))
+    discard(coded, copies)
     whole = docs.select(given(docs, "n_lines", "n_removed", text).alias("given"), column(text).alias("text"), row_key(column(doc_id), column(text)).alias("row_key"))
-    joined = whole.join(by_doc, F.col("row_key") == F.col("k"), "left")
+    joined = whole.join(small(by_doc, "gone"), F.col("row_key") == F.col("k"), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
     return joined.select("given.*", _without(F.col("text"), F.col("gone")).alias(text), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))

@@ -82,7 +82,7 @@ def star_pairs(members: DataFrame) -> DataFrame:
 
 
 #: Stars of more units have their elements counted.
-MANY = 32
+MANY = 16
 
 #: Turns a column of units' items into their sets, as sorted arrays of element hashes.
 Decode = Callable[[pa.Array], list[np.ndarray]]
@@ -182,19 +182,21 @@ def _crossing_pairs(stars: DataFrame, labels: DataFrame, units: DataFrame, decod
     told = _with_items(open_.withColumnsRenamed({"node": "a", "centre": "b"}), units).withColumn("elements", _prefixes(decode)("items_a", "items_b", told_of))
     told = durable(told.withColumnsRenamed({"a": "node", "b": "centre"}).drop("items_a", "items_b").withColumn("unit", F.monotonically_increasing_id()))
     rest = ("unit", "centre", "node", "comp", "inside", "n", "e", "outer", "mixed")
-    few = told.where("not many").select(*rest, "d", F.posexplode("elements").alias("at", "element")).select(*rest, "element", (F.col("d") - F.col("at")).alias("after"))
+    # one number for centre and element: by chance equal ones are candidates more, not less
+    key = F.xxhash64("centre", "element").alias("key")
+    few = told.where("not many").select(*rest, "d", F.posexplode("elements").alias("at", "element")).select(*rest, key, (F.col("d") - F.col("at")).alias("after"))
     # elements that one component has alone join nothing: they count as if they came first
-    each = told.where("many").select("centre", "unit", "comp", F.explode("elements").alias("element"))
-    counted = each.groupBy("centre", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("centre").alias("c"), F.col("element").alias("t"), "held")
+    each = told.where("many").select("centre", "unit", "comp", F.explode("elements").alias("element")).select("unit", "comp", key)
+    counted = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held")
     own = W.partitionBy("u")
-    left = each.join(counted, (F.col("centre") == F.col("c")) & (F.col("element") == F.col("t"))).select(F.col("unit").alias("u"), "element", "held")
-    left = left.select("u", "element", (F.count("*").over(own) - F.row_number().over(own.orderBy("held", "element")) + 1).alias("after"))
-    several = told.where("many").join(left.withColumnRenamed("u", "unit"), "unit").select(*rest, "element", "after")
+    left = each.join(counted, F.col("key") == F.col("k")).select(F.col("unit").alias("u"), "key", "held")
+    left = left.select("u", "key", (F.count("*").over(own) - F.row_number().over(own.orderBy("held", "key")) + 1).alias("after"))
+    several = told.where("many").join(left.withColumnRenamed("u", "unit"), "unit").select(*rest, "key", "after")
     # `after` elements of the unit come from this one on
     one = few.unionByName(several).where("after >= outer or after >= mixed")
-    one = durable(one.select("centre", "element", "node", "comp", "inside", "n", "e", "after", F.coalesce(F.col("after") >= F.col("outer"), F.lit(False)).alias("outer"), F.coalesce(F.col("after") >= F.col("mixed"), F.lit(False)).alias("mixed")))
+    one = durable(one.select("key", "node", "comp", "inside", "n", "e", "after", F.coalesce(F.col("after") >= F.col("outer"), F.lit(False)).alias("outer"), F.coalesce(F.col("after") >= F.col("mixed"), F.lit(False)).alias("mixed")))
     two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
-    met = (F.col("centre") == F.col("centre_")) & (F.col("element") == F.col("element_")) & (F.col("comp") != F.col("comp_"))
+    met = (F.col("key") == F.col("key_")) & (F.col("comp") != F.col("comp_"))
     fits = (2 * (100 + percent) * F.least("after", "after_") >= F.col("e") + F.col("e_")) & (100 * F.col("n") >= percent * F.col("n_")) & (100 * F.col("n_") >= percent * F.col("n"))
     sides = (F.col("outer") & F.col("outer_") & (F.col("node") > F.col("node_"))) | (F.col("inside") & ~F.col("inside_") & F.col("mixed") & F.col("mixed_"))
     pairs = durable(one.join(two, met & fits & sides).select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct())
