@@ -204,7 +204,9 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     members = durable(bucket_members(units.select("node", F.explode(F.array(*names)).alias("key"))))
     release(spark)
     nodes = members.select(F.col("node").alias("x"))
-    wanted = units.select("node", "row", "place").join(nodes, F.col("node") == F.col("x"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
+    met = durable(units.select("node", "row", "place", "h1", "h2").join(small(nodes), F.col("node") == F.col("x"), "left_semi"))
+    discard(units)
+    wanted = met.groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
     wanted = durable(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines"))
     # rows that repeat an id and its text share a row_key, and any of them will do
     found = texts.join(small(wanted, "lines"), F.col("row_key") == F.col("wanted")).select("lines", _line_forms(F.col("text"), F.col("lines.place"), config).alias("items"))
@@ -212,15 +214,14 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     forms = durable(forms.dropDuplicates(["node"]))
     release(spark)
     labels = linked_components(members, forms, config.percent, lambda items: _form_sets(items, config.width))
-    found = durable(units.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp"))
-    discard(units, members, forms, wanted)
+    found = durable(met.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp"))
+    discard(met, members, forms, wanted)
     return found
 
 
 def _without(text: Column, places: Column) -> Column:
-    """The text without the lines at `places` (null: none); null if there is no line left."""
-    lines = F.split(text, "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains(places, i), None).otherwise(x)), lambda x: x.isNotNull())
+    """The text without the lines at `places` (null: none)."""
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(places, i))
     return F.when(places.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
@@ -244,13 +245,13 @@ def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: st
     repeated = counted.join(linked, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").where("n > 1 or comp is not null")
     repeated = durable(repeated.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.coalesce("comp", "h1").alias("c1"), F.when(F.col("comp").isNull(), F.col("h2")).alias("c2")))
     copies = durable(lines.join(repeated, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("d", "row_key", "place", "c1", "c2"))
-    discard(repeated)
+    discard(coded, repeated)
     # the first line of each component; of rows that repeat an id and its text, each keeps it
     stay = copies.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("d"), "d", "place", "row_key")).alias("s")).select(F.col("s.row_key").alias("k"), F.col("s.place").alias("p"))
     gone = copies.join(stay, (F.col("row_key") == F.col("k")) & (F.col("place") == F.col("p")), "left_anti")
-    by_doc = durable(gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("row_key", "k"))
-    discard(coded, copies)
+    by_doc = gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("row_key", "k")
     whole = docs.select(given(docs, "n_lines", "n_removed", text).alias("given"), column(text).alias("text"), row_key(column(doc_id), column(text)).alias("row_key"))
-    joined = whole.join(small(by_doc, "gone"), F.col("row_key") == F.col("k"), "left")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    joined = whole.join(by_doc, F.col("row_key") == F.col("k"), "left")
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("bigint")
     return joined.select("given.*", _without(F.col("text"), F.col("gone")).alias(text), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))

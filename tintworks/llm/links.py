@@ -63,12 +63,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_members(postings: DataFrame) -> DataFrame:
-    """(node, rank, keys): the buckets with two nodes or more of each node, and their sizes' sum, from (key, node).
+    """(node, rank, keys): the buckets with two nodes or more of each node, and their sizes' sum, from distinct (key, node).
 
     One shuffle by key serves the counts and the members.
     """
     dealt = postings.repartition("key")
-    several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held")
+    several = dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select(F.col("key").alias("k"), "held")
     members = dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k"))
     return members.groupBy("node").agg(F.sum("held").alias("rank"), F.collect_list("key").alias("keys"))  # a node has a key for each band
 

@@ -44,7 +44,7 @@ def signatures(hashes: np.ndarray, owners: np.ndarray, n: int, bins: int) -> np.
     out = np.full(n * bins, EMPTY, dtype=np.uint32)
     if len(hashes):
         cells = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + np.asarray(owners, dtype=np.int64) * bins
-        np.minimum.at(out, cells, np.minimum(hashes & np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        np.minimum.at(out, cells, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
     own = out.reshape(n, bins).copy()
     out = out.reshape(n, bins)
     some = (own != EMPTY).any(axis=1)
