@@ -18,25 +18,35 @@ turns marks into spaces.
 Edge cases: null and empty texts have no pieces and decode to the empty text; the
 mark itself (U+2581) in a text decodes to a space; words of any length are encoded
 whole; repeated rows give repeated results; an empty table gives an empty result.
-Other columns pass through, unless they have a result's name.
+Other columns of any name pass through, unless they have a result's name.
+
+Memory: texts are taken in slices of SLICE_BYTES (a longer text is one by itself),
+and a worker remembers words' ids as numbers, WORD_CACHE words and PIECE_CACHE ids
+at most (44 MB), and which pieces stay beside each other, STAY_CACHE pairs (45 MB).
 """
 
 from __future__ import annotations
 
-import re
-from array import array
+import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, given
+from .textkernel import span_hashes, utf8_views
+
 MARK = "▁"
-MERGE_CACHE = 1_000_000
-WORD_CACHE = 600_000
-SLICE_CHARS = 1 << 20
+WORD_CACHE = 1_000_000
+PIECE_CACHE = 5_000_000
+STAY_CACHE = 400_000
+SLICE_BYTES = 1 << 21
+#: The state before a word's first character.
+START = -(1 << 40)
 
 
 def default_model_path() -> str:
@@ -56,6 +66,7 @@ class PieceModel:
     byte_ids: tuple[int, ...]
     surface: tuple[bytes, ...]
     unknown: int
+    name: str = field(default="", compare=False)
 
     @staticmethod
     def load(path: str, kind: str | None = None) -> PieceModel:
@@ -64,7 +75,8 @@ class PieceModel:
 
         model = proto.ModelProto()
         with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+            raw = f.read()
+        model.ParseFromString(raw)
         rules, trained = model.normalizer_spec, model.trainer_spec
         if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or trained.treat_whitespace_as_suffix:
             raise ValueError("only models that leave the text as it is, with marks before words, are supported")
@@ -83,22 +95,36 @@ class PieceModel:
             else:
                 surface.append(p.piece.replace(MARK, " ").encode() if p.type == 1 else b"")
         unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
-        return PieceModel(kind, {p: model.pieces[i].score for p, i in ids.items()}, ids, tuple(byte_ids), tuple(surface), unknown)
+        return PieceModel(kind, {p: model.pieces[i].score for p, i in ids.items()}, ids, tuple(byte_ids), tuple(surface), unknown, f"{kind} {blake2b(raw).hexdigest()}")
 
 
 def merge(text: str, scores: dict[str, float]) -> list[str]:
     """Byte-pair merging from characters: always the pair of the best score, the leftmost of equals."""
-    parts = list(text)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            score = scores.get(parts[i] + parts[i + 1])
-            if score is not None and (best is None or score > best):
-                best, at = score, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    parts: list[str | None] = list(text)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[float, int, str]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(parts):
+            pair = parts[i] + parts[after[i]]
+            score = scores.get(pair)
+            if score is not None:
+                heapq.heappush(heap, (-score, i, pair))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        # what was offered may be merged with something else by now
+        if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != pair:
+            continue
+        gone = after[i]
+        parts[i], parts[gone], after[i] = pair, None, after[gone]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [p for p in parts if p is not None]
 
 
 class Encoder:
@@ -106,8 +132,9 @@ class Encoder:
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
+        self.pieces = {i: p for p, i in model.ids.items()}
         self.longest = max(map(len, model.ids), default=1)
-        self.stays: dict[tuple[str, str], bool] = {}
+        self.stays: dict[int, bool] = {}
         self._clear()
         # the lengths, longest first, of the pieces that end in two given characters
         ends: dict[str, set[int]] = {}
@@ -117,126 +144,183 @@ class Encoder:
         self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
         self.least = min(model.scores.values(), default=0.0) - 10.0
         # white-space characters in no piece at all end a word just as a mark does
-        lone = "".join(c for c in "\n\r\t\v\f" if not any(c in p for p in model.ids))
-        self.cut = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+|[{lone}]" if lone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.lone = np.zeros(256, dtype=bool)
+        self.lone[[ord(c) for c in "\n\r\t\v\f" if not any(c in p for p in model.ids)]] = True
+        self.surface = np.frombuffer(b"".join(model.surface), dtype=np.uint8)
+        self.surface_ends = np.cumsum([len(s) for s in model.surface])
 
     def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.begins, self.sizes, self.flat = array("q"), array("q"), array("i")
-        self.seen = -1
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.slots = self.begins = self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
 
-    def words(self, text: str) -> list[str]:
-        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+    def _name(self, piece: int) -> str:
+        return self.pieces[piece] if piece >= 0 else "" if piece == START else chr(-1 - piece)
 
-    def _beside(self, left: str, right: str) -> bool:
-        if len(self.stays) > MERGE_CACHE:
+    def _beside(self, left: int, piece: int) -> bool:
+        if len(self.stays) >= STAY_CACHE:
             self.stays.clear()
-        known = self.stays[left, right] = merge(left + right, self.model.scores) == ([left, right] if left else [right])
+        x, y = self._name(left), self._name(piece)
+        known = self.stays[left << 32 | piece] = merge(x + y, self.model.scores) == ([x, y] if x else [y])
         return known
 
-    def _forward_bpe(self, word: str, last: list[str], start: int) -> None:
-        """last[i]: the last piece of the BPE result of word[:i]."""
-        scores, stays, beside = self.model.scores, self.stays, self._beside
+    def _forward_bpe(self, word: str, last: list[int], start: int) -> None:
+        """last[i]: the last piece of the BPE result of word[:i]; characters without a piece have negative numbers."""
+        ids, stays, beside, lengths = self.model.ids, self.stays, self._beside, self.lengths
         for end in range(start + 1, len(word) + 1):
-            for size in self.lengths.get(word[max(end - 2, 0) : end], ()):
+            for size in lengths.get(word[max(end - 2, 0) : end], ()):
                 if size <= end:
-                    piece = word[end - size : end]
-                    if piece in scores:
+                    piece = ids.get(word[end - size : end])
+                    if piece is not None:
                         left = last[end - size]
-                        known = stays.get((left, piece))
+                        known = stays.get(left << 32 | piece)
                         if beside(left, piece) if known is None else known:
                             break
             else:
-                piece = word[end - 1]
+                piece = ids.get(word[end - 1])
+                if piece is None:
+                    piece = -1 - ord(word[end - 1])
             last.append(piece)
 
-    def _forward_unigram(self, word: str, best: list[float], last: list[str], start: int) -> None:
-        scores = self.model.scores
+    def _forward_unigram(self, word: str, best: list[float], last: list[int], start: int) -> None:
+        """best[i], last[i]: the best score of word[:i] and its segmentation's last piece."""
+        ids, scores = self.model.ids, self.model.scores
         for end in range(start + 1, len(word) + 1):
-            top, chosen = None, ""
+            top, chosen = None, 0
             for size in range(min(self.longest, end), 0, -1):
-                piece = word[end - size : end]
-                score = scores.get(piece)
+                name = word[end - size : end]
+                score, piece = scores.get(name), ids.get(name)
                 if score is None and size == 1:
-                    score = self.least
+                    score, piece = self.least, -1 - ord(name)
                 if score is not None and (top is None or best[end - size] + score > top):
                     top, chosen = best[end - size] + score, piece
             best.append(top)
             last.append(chosen)
 
-    def _store(self, word: str, pieces: list[str]) -> None:
-        found = []
-        for p in pieces:
-            i = self.model.ids.get(p)
-            found += [i] if i is not None else [self.model.byte_ids[b] for b in p.encode()]
-        self.slots[word] = len(self.sizes)
-        self.begins.append(len(self.flat))
-        self.sizes.append(len(found))
-        self.flat.extend(found)
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are new, in sorted order."""
-        before, best, last = "", [0.0], [""]
-        for word in sorted(words):
-            if word in self.slots:
-                continue
-            if self.model.kind == "bpe" and word.startswith(MARK * 2):
+    def encode_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids, sizes) of sorted words, one after the other."""
+        names, byte_ids, bpe = self.pieces, self.model.byte_ids, self.model.kind == "bpe"
+        before, best, last, flat, sizes = "", [0.0], [START], [], []
+        for word in words:
+            if bpe and word.startswith(MARK * 2):
                 # runs of marks have pieces of one common score, where place decides
-                self._store(word, merge(word, self.model.scores))
-                continue
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
-            if self.model.kind == "bpe":
-                self._forward_bpe(word, last, shared)
+                found = [self.model.ids.get(p, -1 - ord(p[0])) for p in merge(word, self.model.scores)]
             else:
-                self._forward_unigram(word, best, last, shared)
-            pieces, at = [], len(word)
-            while at:
-                pieces.append(last[at])
-                at -= len(last[at])
-            self._store(word, pieces[::-1])
-            before = word
-
-    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts."""
-        if len(self.slots) > WORD_CACHE:
+                shared, most = 0, min(len(before), len(word))
+                while shared < most and before[shared] == word[shared]:
+                    shared += 1
+                del last[shared + 1 :], best[shared + 1 :]
+                if bpe:
+                    self._forward_bpe(word, last, shared)
+                else:
+                    self._forward_unigram(word, best, last, shared)
+                found, at, before = [], len(word), word
+                while at:
+                    piece = last[at]
+                    found.append(piece)
+                    at -= len(names[piece]) if piece >= 0 else 1
+                found.reverse()
+            size = len(flat)
+            for piece in found:
+                if piece >= 0:
+                    flat.append(piece)
+                else:
+                    flat += [byte_ids[b] for b in chr(-1 - piece).encode()]
+            sizes.append(len(flat) - size)
+        return flat, sizes
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        if len(self.known) + len(words) > WORD_CACHE or len(self.flat) > PIECE_CACHE:
             self._clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(self.words(text or ""))
-        self.learn(new)
-        del new
-        # copies, as an array with a view can't grow
-        if len(self.slots) != self.seen:
-            self.seen = len(self.slots)
-            self.tables = np.array(self.begins, dtype=np.int64), np.array(self.sizes, dtype=np.int64), np.array(self.flat, dtype=np.int32)
-        begins, sizes, flat = self.tables
-        parts, counts, held, slot = [], [], [], self.slots.__getitem__
-
-        def flush() -> None:
-            if held:
-                chosen = np.array(held, dtype=np.int64)
-                n = sizes[chosen]
-                parts.append(flat[np.arange(n.sum()) + np.repeat(begins[chosen] - (np.cumsum(n) - n), n)])
-                held.clear()
-
+        order = sorted(range(len(words)), key=words.__getitem__)
+        flat, sizes = self.encode_words([words[i] for i in order])
+        sizes = np.array(sizes, dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes + len(self.flat)
+        slots = np.arange(len(sizes)) + len(self.sizes)
+        known, slots = np.concatenate([self.known, hashes[order]]), np.concatenate([self.slots, slots])
+        order = np.argsort(known)
+        self.known, self.slots = known[order], slots[order]
+        self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.int32)])
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes among the known ones, and which are there."""
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        return at, self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
+
+    def encode_slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, same) of UTF-8 texts, same telling whether decoding gives the text back."""
+        mark, spaced = MARK.encode(), []
         for text in texts:
-            own = list(map(slot, self.words(text or "")))
-            counts.append(int(sizes[own].sum()) if own else 0)
-            held += own
-            if len(held) > SLICE_CHARS:
-                flush()
-        flush()
-        return np.concatenate([np.zeros(0, dtype=np.int32), *parts]), np.concatenate([[0], np.cumsum(counts)])
+            spaced.append(b" " + text.replace(mark, b" ") if text else b"")
+        data = np.frombuffer(b"".join(spaced), dtype=np.uint8)
+        rows = np.cumsum([0, *map(len, spaced)])
+        space, lone = data == 0x20, self.lone[data]
+        begins = lone | space
+        begins[1:] &= ~(space[1:] & space[:-1])
+        begins[1:] |= lone[:-1] & ~space[1:]
+        begins[rows[:-1][np.diff(rows) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        hashes, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at, there = self._find(hashes)
+        if not there.all():
+            new = np.flatnonzero(~there)
+            cut = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").replace(" ", MARK) for i in first[new]]
+            before = len(self.known)
+            self._learn(hashes[new], cut)
+            if len(self.known) != before + len(new):  # it was cleared before: all of the slice's words again
+                self._clear()
+                self._learn(hashes, [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").replace(" ", MARK) for i in first])
+            at, _ = self._find(hashes)
+        slots = self.slots[at][inverse]
+        sizes = self.sizes[slots]
+        to = np.cumsum(sizes)
+        total = int(to[-1]) if len(to) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.begins[slots] - (to - sizes), sizes)]
+        offsets = np.concatenate([[0], to])[np.searchsorted(starts, rows)]
+        same = np.array([mark not in text for text in texts], dtype=bool)
+        if self.decode_bytes(ids) != data.tobytes():
+            same &= [self.decode(ids[a:b]).encode() == text for a, b, text in zip(offsets[:-1], offsets[1:], texts)]
+        return ids, offsets, same
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_batch([text])[0].tolist()
+        return self.encode_slice([(text or "").encode()])[0].tolist()
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The surfaces of the pieces, with a space before each text."""
+        ids = np.asarray(ids, dtype=np.int64)
+        ends = self.surface_ends[ids]
+        sizes = ends - np.where(ids > 0, self.surface_ends[ids - 1], 0)
+        to = np.cumsum(sizes)
+        total = int(to[-1]) if len(to) else 0
+        return self.surface[np.arange(total) + np.repeat(ends - to, sizes)].tobytes()
 
     def decode(self, ids) -> str:
-        surface = self.model.surface
-        return b"".join([surface[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return self.decode_bytes(ids).decode("utf-8", "replace")[1:]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(model: PieceModel) -> Encoder:
+    """This worker's encoder, with what it has learned so far; one model's at a time."""
+    if not model.name or model.name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model.name] = Encoder(model)
+    return _ENCODERS[model.name]
+
+
+def _slices(column: pa.Array) -> Iterator[list[bytes]]:
+    texts, held = [], 0
+    for view in utf8_views(column):
+        if texts and held + len(view) > SLICE_BYTES:
+            yield texts
+            texts, held = [], 0
+        texts.append(view.tobytes())
+        held += len(view)
+    if texts:
+        yield texts
 
 
 def encode_pieces(docs: DataFrame, model: PieceModel, *, text: str = "text") -> DataFrame:
@@ -248,24 +332,17 @@ def encode_pieces(docs: DataFrame, model: PieceModel, *, text: str = "text") ->
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(held.value)
-        for column in batches:
-            # slices of a batch keep Python's words few; their cache carries on
-            out = []
-            views = column.to_pylist()
-            ids, offsets = encoder.encode_batch(views)
-            for row, original in enumerate(views):
-                out.append(encoder.decode(ids[offsets[row] : offsets[row + 1]].tolist()) == (original or ""))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.StructArray.from_arrays([lists, pa.array(out, pa.bool_())], ["ids", "same"])
+        encoder = _encoder(held.value)
+        for batch in batches:
+            # a batch's results go slice by slice, so that no more is held than a slice's
+            for texts in _slices(batch):
+                ids, offsets, same = encoder.encode_slice(texts)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.StructArray.from_arrays([lists, pa.array(same)], ["ids", "same"])
 
     kernel = kernel.asNondeterministic()
-    keep = [c for c in docs.columns if c.lower() not in ("piece_ids", "n_pieces", "round_trip")]
-    name = "encoded"
-    while name in keep:
-        name = f"_{name}"
-    coded = docs.select(*keep, kernel(docs[text]).alias(name))
-    return coded.select(*keep, F.col(f"{name}.ids").alias("piece_ids"), F.size(f"{name}.ids").cast("bigint").alias("n_pieces"), F.col(f"{name}.same").alias("round_trip"))
+    coded = docs.select(given(docs, "piece_ids", "n_pieces", "round_trip").alias("given"), kernel(column(text)).alias("encoded"))
+    return coded.select("given.*", F.col("encoded.ids").alias("piece_ids"), F.size("encoded.ids").cast("bigint").alias("n_pieces"), F.col("encoded.same").alias("round_trip"))
 
 
 def decode_pieces(ids: Column, model: PieceModel) -> Column:
