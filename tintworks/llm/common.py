@@ -46,6 +46,11 @@ def small(frame: DataFrame, items: str | None = None) -> DataFrame:
     return F.broadcast(frame) if max(rows, inside) <= BROADCAST_ROWS else frame
 
 
+def thin(frame: DataFrame) -> DataFrame:
+    """A frame of pairs or labels in a quarter of the shuffle's partitions, which are so many for the sake of the texts."""
+    return frame.coalesce(-(-int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names."""
     context = frame.sparkSession.sparkContext

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, given
 from .textkernel import utf8_views
 
 # Notices of public licenses.
@@ -194,9 +195,9 @@ def scan(text: bytes, templates: list[_Template], config: LicenseConfig) -> tupl
 
 def _scanned(text: Column, config: LicenseConfig) -> Column:
     @F.arrow_udf("struct<template:string,coverage:double,first_word:bigint,last_word:bigint>")
-    def kernel(column: pa.Array) -> pa.Array:
+    def kernel(texts: pa.Array) -> pa.Array:
         templates = compiled(config)
-        rows = [scan(v.tobytes(), templates, config) for v in utf8_views(column)]
+        rows = [scan(v.tobytes(), templates, config) for v in utf8_views(texts)]
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["template", "coverage", "first_word", "last_word"])
 
@@ -209,11 +210,6 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig | None = None, *, text:
     A map over rows: no shuffle.
     """
     config = config or LicenseConfig()
-    added = ("license", "coverage", "first_word", "last_word")
-    keep = [c for c in docs.columns if c.lower() not in added]
-    name = "scanned"
-    while name in keep:
-        name = f"_{name}"
-    found = docs.select(*keep, _scanned(docs[text], config).alias(name))
-    named = F.when(F.col(f"{name}.coverage") >= config.least, F.col(f"{name}.template"))
-    return found.select(*keep, named.alias("license"), F.round(f"{name}.coverage", 6).alias("coverage"), F.col(f"{name}.first_word").alias("first_word"), F.col(f"{name}.last_word").alias("last_word"))
+    found = docs.select(given(docs, "license", "coverage", "first_word", "last_word").alias("given"), _scanned(column(text), config).alias("s"))
+    named = F.when(F.col("s.coverage") >= config.least, F.col("s.template"))
+    return found.select("given.*", named.alias("license"), F.round("s.coverage", 6).alias("coverage"), F.col("s.first_word").alias("first_word"), F.col("s.last_word").alias("last_word"))

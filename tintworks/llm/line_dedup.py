@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, durable, given, release, row_key, small
+from .common import column, discard, durable, given, release, row_key, small, thin
 from .links import bucket_members, linked_components
 from .minhash import Bands, band_keys, signatures
 from .textkernel import lower_ascii, mix64, span_hashes, utf8_views
@@ -204,17 +204,17 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     members = durable(bucket_members(units.select("node", F.explode(F.array(*names)).alias("key"))))
     release(spark)
     nodes = members.select(F.col("node").alias("x"))
-    met = durable(units.select("node", "row", "place", "h1", "h2").join(small(nodes), F.col("node") == F.col("x"), "left_semi"))
+    met = durable(thin(units.select("node", "row", "place", "h1", "h2").join(small(nodes), F.col("node") == F.col("x"), "left_semi")))
     discard(units)
     wanted = met.groupBy("row").agg(F.collect_list(F.struct("node", "place")).alias("lines")).withColumnRenamed("row", "r")
-    wanted = durable(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines"))
+    wanted = durable(thin(coded.select("row", "row_key").join(wanted, F.col("row") == F.col("r")).select(F.col("row_key").alias("wanted"), "lines")))
     # rows that repeat an id and its text share a row_key, and any of them will do
     found = texts.join(small(wanted, "lines"), F.col("row_key") == F.col("wanted")).select("lines", _line_forms(F.col("text"), F.col("lines.place"), config).alias("items"))
     forms = found.select(F.explode(F.arrays_zip(F.col("lines.node").alias("node"), "items")).alias("s")).select("s.node", "s.items")
     forms = durable(forms.dropDuplicates(["node"]))
     release(spark)
     labels = linked_components(members, forms, config.percent, lambda items: _form_sets(items, config.width))
-    found = durable(met.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp"))
+    found = durable(thin(met.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp")))
     discard(met, members, forms, wanted)
     return found
 
@@ -243,7 +243,7 @@ def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: st
     linked = comps.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "comp")
     # a component is named by its number, or by its only line's digest; lines that stand alone are settled
     repeated = counted.join(linked, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").where("n > 1 or comp is not null")
-    repeated = durable(repeated.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.coalesce("comp", "h1").alias("c1"), F.when(F.col("comp").isNull(), F.col("h2")).alias("c2")))
+    repeated = durable(thin(repeated).select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.coalesce("comp", "h1").alias("c1"), F.when(F.col("comp").isNull(), F.col("h2")).alias("c2")))
     copies = durable(lines.join(repeated, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("d", "row_key", "place", "c1", "c2"))
     discard(coded, repeated)
     # the first line of each component; of rows that repeat an id and its text, each keeps it
@@ -254,4 +254,5 @@ def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: st
     joined = whole.join(by_doc, F.col("row_key") == F.col("k"), "left")
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("bigint")
-    return joined.select("given.*", _without(F.col("text"), F.col("gone")).alias(text), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    cut = joined.select("given", _without(F.col("text"), F.col("gone")).alias("left"), n_lines.alias("n"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("away"))
+    return cut.select("given.*", F.col("left").alias(text), F.col("n").alias("n_lines"), F.col("away").alias("n_removed"))

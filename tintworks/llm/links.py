@@ -2,9 +2,8 @@
 
 Candidates are star-shaped: a bucket's centre is its most central unit (the one
 with the largest buckets, as the original of a group of copies has), and each unit
-is held against the centres of its buckets.  The links that are confirmed join
-units into components.  What remains are pairs of units x, y that share a centre c
-and stand in different components; then x or y is not linked with c.
+is held against the centres of its buckets.  What remains are pairs of units x, y
+that share a centre c; where both are linked with c they are of one component.
 
 With D(x) for the elements that only one of x and c has, x and y differ in the
 elements that only one of D(x) and D(y) has.  At a similarity of p percent,
@@ -25,6 +24,7 @@ first, then what it lacks of c, each by hash; so only the first have to be told.
 
 So every two members of a bucket are joined already, compared, or excluded by their
 bound: no link is lost, and pairs don't grow with the square of a group of copies.
+A distributed union-find joins the links that are confirmed to components.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, durable, thin
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a partial aggregation and a
     join, until the edges are stars around their smallest nodes.
     """
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = durable(thin(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"), F.sum(F.when(F.col("b") < F.col("a"), 1).otherwise(0)).alias("below"))
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, both["a"] == low["x"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         inner = large.join(least.withColumnRenamed("a", "x"), F.col("a") == F.col("x")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before, now = now, durable(inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before, now = now, durable(thin(inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct()))
         discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
@@ -78,7 +78,7 @@ def star_pairs(members: DataFrame) -> DataFrame:
     ranked = members.select("node", "rank", F.explode("keys").alias("key"))
     # the largest rank, then the smallest node of that rank
     best = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("back"))).alias("best")).select(F.col("key").alias("k"), (-F.col("best.back")).alias("c"))
-    return durable(ranked.join(best, F.col("key") == F.col("k")).where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct())
+    return durable(thin(ranked.join(best, F.col("key") == F.col("k")).where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct()))
 
 
 #: Stars of more units have their elements counted.
@@ -146,68 +146,67 @@ def measured(pairs: DataFrame, units: DataFrame, decode: Decode) -> DataFrame:
     return _with_items(pairs, units).select("a", "b", _measures(decode)("items_a", "items_b").alias("m")).select("a", "b", "m.*")
 
 
-def _labelled(frame: DataFrame, labels: DataFrame, node: str, comp: str) -> DataFrame:
-    """`frame` with the component of its column `node`: itself, where it has no link."""
-    known = labels.select(F.col("node").alias("labelled"), F.col("comp").alias("known"))
-    return frame.join(known, F.col(node) == F.col("labelled"), "left").withColumn(comp, F.coalesce("known", node)).drop("labelled", "known")
+def is_link(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
-def _open_stars(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(centre, node, comp, inside, many, n, d, e, outer, mixed): the units of stars that may have links across components.
+def _open_stars(stars: DataFrame, percent: int) -> DataFrame:
+    """(centre, node, group, inside, many, n, d, e, outer, mixed): the units of stars that may have more links.
 
-    `inside` tells whether the unit is in the centre's component.  Of a unit and its
-    partner one is outside; outer and mixed are the least numbers of elements that
-    their differences have in common, where both are and where one of them is.
+    `inside` tells whether the unit is linked with the centre; units of one group
+    are of one component.  Of a unit and its partner one is outside; outer and
+    mixed are the least numbers of elements that their differences have in common,
+    where both are and where one of them is.
     """
     w, v = 100 + percent, 100 - percent
-    placed = _labelled(_labelled(stars, labels, "a", "comp"), labels, "b", "of")
     d, n = F.col("n_a") + F.col("n_b") - 2 * F.col("common"), F.col("n_a")
-    placed = placed.select(F.col("b").alias("centre"), F.col("a").alias("node"), "comp", (F.col("comp") == F.col("of")).alias("inside"), n.alias("n"), d.alias("d"), (w * d - v * n).alias("e"))
+    placed = stars.select(F.col("b").alias("centre"), F.col("a").alias("node"), is_link(percent).alias("inside"), n.alias("n"), d.alias("d"), (w * d - v * n).alias("e"))
+    own = placed.where("inside").groupBy("node").agg(F.min("centre").alias("first"))
+    # one step further, from the centre to what it is linked with
+    next_ = own.select(F.col("node").alias("y"), F.col("first").alias("second"))
+    of = own.join(next_, F.col("first") == F.col("y"), "left").select(F.col("node").alias("x"), F.least("first", F.coalesce("second", "first")).alias("group"))
+    placed = placed.join(of, F.col("node") == F.col("x"), "left").withColumn("group", F.coalesce("group", "node"))
     inner, outer = F.when(F.col("inside"), F.col("e")), F.when(~F.col("inside"), F.col("e"))
-    least = placed.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), (F.count("*") > MANY).alias("many"), F.min(inner).alias("m_in"), F.min(outer).alias("m_out")).where("low < high").select(F.col("centre").alias("c"), "many", "m_in", "m_out")
+    least = placed.groupBy("centre").agg(F.min("group").alias("low"), F.max("group").alias("high"), (F.count("*") > MANY).alias("many"), F.min(inner).alias("m_in"), F.min(outer).alias("m_out")).where("low < high and m_out is not null").select(F.col("centre").alias("c"), "many", "m_in", "m_out")
     met = placed.join(least, F.col("centre") == F.col("c"))
     # no link differs from the unit in more than v / p of its elements, so the rest of D is common
     rest = F.col("d") - F.floor(v * F.col("n") / percent)
     need = lambda m: F.greatest(F.ceil((F.col("e") + m) / (2 * w)), rest, F.lit(1))
     needs = met.withColumns({"outer": F.when(~F.col("inside"), need(F.col("m_out"))), "mixed": F.when(F.col("inside"), need(F.col("m_out"))).when(F.col("m_in").isNotNull(), need(F.col("m_in")))})
-    return needs.where("outer <= d or mixed <= d").select("centre", "node", "comp", "inside", "many", "n", "d", "e", "outer", "mixed")
+    return needs.where("outer <= d or mixed <= d").select("centre", "node", "group", "inside", "many", "n", "d", "e", "outer", "mixed")
 
 
-def _crossing_pairs(stars: DataFrame, labels: DataFrame, units: DataFrame, decode: Decode, percent: int) -> DataFrame:
-    """(a, b) of one star and different components that share an element within their prefixes."""
-    open_ = durable(_open_stars(stars, labels, percent))
+def _crossing_pairs(stars: DataFrame, units: DataFrame, decode: Decode, percent: int) -> DataFrame:
+    """(a, b) of one star and different groups that share an element within their prefixes."""
+    open_ = durable(thin(_open_stars(stars, percent)))
     if open_.isEmpty():
         return durable(open_.select(F.col("node").alias("a"), F.col("centre").alias("b")))
     told_of = F.when(F.col("many"), F.col("d")).otherwise(F.col("d") - F.least("outer", "mixed") + 1).cast("int")
     told = _with_items(open_.withColumnsRenamed({"node": "a", "centre": "b"}), units).withColumn("elements", _prefixes(decode)("items_a", "items_b", told_of))
-    told = durable(told.withColumnsRenamed({"a": "node", "b": "centre"}).drop("items_a", "items_b").withColumn("unit", F.monotonically_increasing_id()))
-    rest = ("unit", "centre", "node", "comp", "inside", "n", "e", "outer", "mixed")
+    told = durable(thin(told).withColumnsRenamed({"a": "node", "b": "centre"}).drop("items_a", "items_b").withColumn("unit", F.monotonically_increasing_id()))
+    rest = ("unit", "centre", "node", "group", "inside", "n", "e", "outer", "mixed")
     # one number for centre and element: by chance equal ones are candidates more, not less
     key = F.xxhash64("centre", "element").alias("key")
     few = told.where("not many").select(*rest, "d", F.posexplode("elements").alias("at", "element")).select(*rest, key, (F.col("d") - F.col("at")).alias("after"))
-    # elements that one component has alone join nothing: they count as if they came first
-    each = told.where("many").select("centre", "unit", "comp", F.explode("elements").alias("element")).select("unit", "comp", key)
-    counted = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held")
+    # elements that one group has alone join nothing: they count as if they came first
+    each = told.where("many").select("centre", "unit", "group", F.explode("elements").alias("element")).select("unit", "group", key)
+    counted = each.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held")
     own = W.partitionBy("u")
     left = each.join(counted, F.col("key") == F.col("k")).select(F.col("unit").alias("u"), "key", "held")
     left = left.select("u", "key", (F.count("*").over(own) - F.row_number().over(own.orderBy("held", "key")) + 1).alias("after"))
     several = told.where("many").join(left.withColumnRenamed("u", "unit"), "unit").select(*rest, "key", "after")
     # `after` elements of the unit come from this one on
     one = few.unionByName(several).where("after >= outer or after >= mixed")
-    one = durable(one.select("key", "node", "comp", "inside", "n", "e", "after", F.coalesce(F.col("after") >= F.col("outer"), F.lit(False)).alias("outer"), F.coalesce(F.col("after") >= F.col("mixed"), F.lit(False)).alias("mixed")))
+    one = durable(thin(one).select("key", "node", "group", "inside", "n", "e", "after", F.coalesce(F.col("after") >= F.col("outer"), F.lit(False)).alias("outer"), F.coalesce(F.col("after") >= F.col("mixed"), F.lit(False)).alias("mixed")))
     two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
-    met = (F.col("key") == F.col("key_")) & (F.col("comp") != F.col("comp_"))
+    met = (F.col("key") == F.col("key_")) & (F.col("group") != F.col("group_"))
     fits = (2 * (100 + percent) * F.least("after", "after_") >= F.col("e") + F.col("e_")) & (100 * F.col("n") >= percent * F.col("n_")) & (100 * F.col("n_") >= percent * F.col("n"))
     sides = (F.col("outer") & F.col("outer_") & (F.col("node") > F.col("node_"))) | (F.col("inside") & ~F.col("inside_") & F.col("mixed") & F.col("mixed_"))
-    pairs = durable(one.join(two, met & fits & sides).select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct())
+    pairs = durable(thin(one.join(two, met & fits & sides).select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct()))
     discard(open_, told, one)
     return pairs
 
 
-def is_link(percent: int) -> Column:
-    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-
-
 def linked_components(members: DataFrame, units: DataFrame, percent: int, decode: Decode = stored_sets) -> DataFrame:
     """(node, comp) of the nodes with a link, from `bucket_members` and (node, items) of each.
 
@@ -215,16 +214,10 @@ def linked_components(members: DataFrame, units: DataFrame, percent: int, decode
     items are joined; a hot element is joined only where it is within both prefixes.
     """
     pairs = star_pairs(members)
-    stars = durable(measured(pairs, units, decode))
-    labels = durable(connected_components(stars.where(is_link(percent)).select("a", "b")))
-    crossing = _crossing_pairs(stars, labels, units, decode, percent)
+    stars = durable(thin(measured(pairs, units, decode)))
+    crossing = _crossing_pairs(stars, units, decode, percent)
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = durable(measured(crossing.join(tested, ["a", "b"], "left_anti"), units, decode).where(is_link(percent)).select("a", "b"))
-    if not links.isEmpty():
-        # what is new joins components: a graph on these
-        between = durable(_labelled(_labelled(links, labels, "a", "p"), labels, "b", "q").select("a", "b", "p", "q"))
-        joined = connected_components(between.select(F.col("p").alias("a"), F.col("q").alias("b")))
-        nodes = labels.unionByName(between.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("p").alias("comp")), F.struct(F.col("b").alias("node"), F.col("q").alias("comp")))).alias("s")).select("s.*")).distinct()
-        labels = durable(_labelled(nodes.select("node", F.col("comp").alias("part")), joined, "part", "comp").select("node", "comp"))
+    more = measured(crossing.join(tested, ["a", "b"], "left_anti"), units, decode)
+    labels = durable(connected_components(stars.unionByName(more).where(is_link(percent)).select("a", "b")))
     discard(pairs, stars, crossing)
     return labels

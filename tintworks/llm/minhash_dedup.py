@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, durable, given, release, row_key, small
+from .common import column, discard, durable, given, release, row_key, small, thin
 from .links import bucket_members, linked_components, set_column
 from .minhash import Bands, band_keys, signatures
 from .textkernel import Chunk, chunks, lower_ascii, mix64, row_shingles, span_hashes
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, *, doc
     members = durable(bucket_members(heads.select(F.col("row").alias("node"), F.explode("keys").alias("key"))))
     release(docs.sparkSession)
     nodes = members.select("node")
-    wanted = durable(rows.select("row", F.col("row_key").alias("wanted")).join(nodes, F.col("row") == F.col("node")).select("node", "wanted"))
+    wanted = durable(thin(rows.select("row", F.col("row_key").alias("wanted")).join(nodes, F.col("row") == F.col("node")).select("node", "wanted")))
     # rows that repeat an id and its text share a row_key, and any of them will do
     found = rows_in.join(small(wanted), F.col("row_key") == F.col("wanted")).select("node", _sets(F.col("text"), config).alias("items"))
     sets = durable(found.dropDuplicates(["node"]))

@@ -15,7 +15,7 @@ Edge cases: a null text has size 0; a null source is a source of its own, the
 last; rows that repeat an id share a hash, and where they are the boundary
 together the words that are left are dealt evenly among them; null ids likewise;
 sizes of 0 are taken 0 times; an empty table gives an empty result.  Other
-columns pass through, unless they have a result's name.
+columns of any name pass through, unless they have a result's name.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import column, durable, given, small, thin
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,7 +93,7 @@ def _thresholds(rows: DataFrame, targets: DataFrame, config: MixConfig) -> DataF
         edge = placed.join(open_.select(F.col("source").alias("s"), "epochs", "rest"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("below") <= F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest")))
         open_ = edge.select("source", "epochs", (F.col("rest") - F.col("below")).alias("rest"), F.col("bucket").alias("prefix"), "words", "n")
         if level + 1 < config.levels:
-            open_ = durable(open_)  # a row for each source
+            open_ = durable(thin(open_))  # a row for each source
     at_edge = F.when(F.col("n") > 1, F.floor(F.col("rest") / F.col("n"))).when(2 * F.col("rest") >= F.col("words"), F.col("words")).otherwise(0)
     cuts = open_.select(F.col("source").alias("s"), (F.col("prefix") - 1).alias("cut"), at_edge.cast("bigint").alias("edge"))
     # a source without a boundary has no rest, so no hash is below its cut
@@ -104,20 +104,18 @@ def mix(docs: DataFrame, config: MixConfig | None = None, *, doc_id: str = "doc_
     """`docs` with size, source_size, target and taken: the words that the mix takes of each row, repeats counted.
 
     Reads the texts once for the histograms and once for the result.  The joins
-    bring one row for each source; Spark broadcasts them if their size allows.
+    bring one row for each source: broadcast where they are counted to be few, as
+    sources are, and else shuffled with splits of hot sources (adaptive skew join).
     """
     config = config or MixConfig()
-    added = ("size", "source_size", "target", "taken")
-    keep = [c for c in docs.columns if c.lower() not in added]
-    rows = durable(docs.select(F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"), hash60(F.col(doc_id), config.seed).alias("h")))
-    targets = durable(source_targets(rows, config))
+    told = docs.select(given(docs, "size", "source_size", "target", "taken").alias("given"), column(source).alias("source"), size_in_words(column(text)).alias("size"), hash60(column(doc_id), config.seed).alias("h"))
+    rows = durable(told.select("source", "size", "h"))
+    targets = durable(thin(source_targets(rows, config)))
     cuts = _thresholds(rows, targets, config)
-    (s, h) = fresh(keep, "mix_source", "mix_hash")
-    plan = targets.join(cuts.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias(s), "source_size", "target", "epochs", "cut", "edge")
-    sized = docs.select(*keep, size_in_words(F.col(text)).alias("size"), hash60(F.col(doc_id), config.seed).alias(h))
-    joined = sized.join(plan, F.col(source).eqNullSafe(F.col(s)))
-    more = F.when(F.col(h) <= F.col("cut"), F.col("size")).when(F.col(h) == F.col("cut") + 1, F.least(F.col("edge"), F.col("size"))).otherwise(0)
-    return joined.select(*keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + more).cast("bigint").alias("taken"))
+    plan = targets.join(cuts.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("s"), "source_size", "target", "epochs", "cut", "edge")
+    joined = told.join(small(durable(thin(plan))), F.col("source").eqNullSafe(F.col("s")))
+    more = F.when(F.col("h") <= F.col("cut"), F.col("size")).when(F.col("h") == F.col("cut") + 1, F.least("edge", "size")).otherwise(0)
+    return joined.select("given.*", "size", "source_size", "target", (F.col("epochs") * F.col("size") + more).cast("bigint").alias("taken"))
 
 
 def oracle_sql(config: MixConfig | None = None) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import column, given
 from .textkernel import IS_SEP, chunks, mix64
 
 
@@ -90,12 +90,11 @@ def bucket_counts(text: Column, config: ClassifierConfig) -> Column:
         ids, counts, sizes = [], [], []
         for chunk in chunks(column):
             b, r = _feature_buckets(chunk, config.bits, config.sizes)
-            for row in range(chunk.rows):
-                u, c = np.unique(b[r == row], return_counts=True)
-                ids.append(u)
-                counts.append(c)
-                sizes.append(len(u))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            cells, n = np.unique(r.astype(np.int64) << config.bits | b, return_counts=True)
+            ids.append(cells & (1 << config.bits) - 1)
+            counts.append(n)
+            sizes.append(np.bincount(cells >> config.bits, minlength=chunk.rows))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]))]).astype(np.int32))
         flat = lambda x: pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, flat(ids)), pa.ListArray.from_arrays(offsets, flat(counts))], ["buckets", "counts"])
 
@@ -142,13 +141,14 @@ def fit(buckets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, config: ClassifierConfig | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, float]:
     """Fit on a bounded balanced sample of labelled rows; the bias is set back to the labels' own odds."""
     config = config or ClassifierConfig()
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("i", "y")
+    known = labels.where(column(label).isin(0, 1) & column(doc_id).isNotNull()).groupBy(column(doc_id).alias("i")).agg(F.min(column(label)).alias("y"), F.max(column(label)).alias("z")).where("y = z").select("i", "y")
     odds = dict(known.groupBy("y").count().collect())
     half = config.sample_rows // 2
     picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(config.seed)), "i").limit(half) for y in (0, 1)]
-    # at most sample_rows ids, so a broadcast of a bounded size
-    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picks[0].unionByName(picks[1])), "i")
-    got = sample.select("i", "y", bucket_counts(F.col("t"), config).alias("f")).select("i", "y", "f.*").limit(2 * config.sample_rows).toArrow().to_pandas()
+    # at most sample_rows ids, so a broadcast of a bounded size; of rows that repeat an id, the least text counts
+    found = docs.select(column(doc_id).alias("i"), column(text).alias("t")).join(F.broadcast(picks[0].unionByName(picks[1])), "i")
+    sample = found.groupBy("i", "y").agg(F.min("t").alias("t"))
+    got = sample.select("i", "y", bucket_counts(F.col("t"), config).alias("f")).select("i", "y", "f.*").toArrow().to_pandas()
     got = got[got["buckets"].map(len) > 0].sort_values("i", kind="stable")
     labels_of = got["y"].to_numpy(dtype=np.int64)
     if len(set(labels_of.tolist())) < 2:
@@ -180,7 +180,5 @@ def classify(docs: DataFrame, labels: DataFrame, config: ClassifierConfig | None
     """`docs` with `score` and `predicted` (1 from `threshold` on); columns of these names are replaced."""
     config = config or ClassifierConfig()
     model = train(docs, labels, config, doc_id=doc_id, text=text, label=label)
-    (held,) = fresh(docs.columns, "held")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*rest, F.round(score(F.col(text), model, config), 9).alias(held))
-    return scored.select(*rest, F.col(held).alias("score"), (F.col(held) >= threshold).cast("int").alias("predicted"))
+    scored = docs.select(given(docs, "score", "predicted").alias("given"), F.round(score(column(text), model, config), 9).alias("p"))
+    return scored.select("given.*", F.col("p").alias("score"), (F.col("p") >= threshold).cast("int").alias("predicted"))

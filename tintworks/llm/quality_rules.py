@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import column, given
 from .textkernel import Chunk, chunks, lower_ascii, mix64, span_hashes, window_hashes
 
 # Frequent function words of the reference languages.
@@ -176,7 +176,7 @@ def language_references(docs: DataFrame, config: QualityConfig | None = None, *,
     """
     config = config or QualityConfig()
     n_class, n_word = len(CLASSES), len(WORDS) + 1
-    measured = docs.select(_language(F.col(lang)).alias("k"), features(F.col(text), config.window).alias("f")).where(F.col("f.n_words") >= config.min_hist_words)
+    measured = docs.select(_language(column(lang)).alias("k"), features(column(text), config.window).alias("f")).where(F.col("f.n_words") >= config.min_hist_words)
     sums = [F.sum(F.col("f.classes")[i]).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.col("f.words")[i]).alias(f"w{i}") for i in range(n_word)]
     rows = measured.groupBy("k").agg(*sums).collect()
     totals = {r["k"]: np.array(r[1:], dtype=np.float64) for r in rows}
@@ -227,7 +227,7 @@ def word_limits(docs: DataFrame, references: dict, config: QualityConfig | None
     """
     config = config or QualityConfig()
     bins = 1000
-    measured = docs.select(_language(F.col(lang)).alias("k"), F.xxhash64(text).alias("text_hash"), features(F.col(text), config.window).alias("f")).where(F.col("f.n_words") >= config.min_hist_words)
+    measured = docs.select(_language(column(lang)).alias("k"), F.xxhash64(column(text)).alias("text_hash"), features(column(text), config.window).alias("f")).where(F.col("f.n_words") >= config.min_hist_words)
     distance = _distance(F.col("f.words"), _reference_of(F.col("k"), references, 1), F.col("f.n_words"))
     placed = measured.select("k", _length_class(F.col("f.n_words"), config).alias("z"), F.floor(distance * bins).cast("int").alias("bin"), "text_hash").where("bin is not null").distinct()
     histograms: dict[tuple[str, int], np.ndarray] = {}
@@ -252,19 +252,18 @@ def quality_rules(docs: DataFrame, config: QualityConfig | None = None, referenc
     config = config or QualityConfig()
     references = references or language_references(docs, config, text=text, lang=lang)
     limits = word_limits(docs, references, config, text=text, lang=lang)
-    (f, key) = fresh(docs.columns, "f", "k")
-    lookup = lambda which: _reference_of(F.col(key), references, which)
-    counts = F.col(f)
+    lookup = lambda which: _reference_of(F.col("k"), references, which)
+    counts = F.col("f")
     n_words, repeated = counts["n_words"], counts["n_repeat_words"]
     chars = F.aggregate(counts["classes"], F.lit(0).cast("bigint"), lambda a, x: a + x)
     by_class = F.when(chars >= config.min_class_chars, _distance(counts["classes"], lookup(0), chars))
     by_word = F.when(n_words >= config.min_hist_words, _distance(counts["words"], lookup(1), n_words))
     failed = (n_words < config.min_words) | (100 * repeated > config.max_repeat_percent * n_words)
-    judged = docs.withColumns({f: features(docs[text], config.window), key: _language(docs[lang])})
-    with_distances = judged.withColumns({f: F.struct(f"{f}.*", failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"))})
+    judged = docs.select(given(docs, result).alias("given"), features(column(text), config.window).alias("f"), _language(column(lang)).alias("k"))
+    with_distances = judged.withColumns({"f": F.struct("f.*", failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"))})
     length = _length_class(counts["n_words"], config)
-    by_spread = F.coalesce(*[F.when((F.col(key) == k) & (length == z), F.lit(x)) for (k, z), x in limits.items()], F.lit(config.word_distance))
+    by_spread = F.coalesce(*[F.when((F.col("k") == k) & (length == z), F.lit(x)) for (k, z), x in limits.items()], F.lit(config.word_distance))
     word_limit = F.least(by_spread, F.lit(config.word_distance))
     verdict = ~counts["base_failed"] & (F.coalesce(counts["class_distance"], F.lit(0.0)) <= config.class_distance) & (F.coalesce(counts["word_distance"], F.lit(0.0)) <= word_limit)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance")
-    return with_distances.select(*[docs.columns[i] for i in range(len(docs.columns)) if docs.columns[i] != result], F.struct(*[counts[b].alias(b) for b in base], verdict.alias("kept")).alias(result))
+    return with_distances.select("given.*", F.struct(*[counts[b].alias(b) for b in base], verdict.alias("kept")).alias(result))

@@ -23,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import column, fresh, given
 
 PRIME = 65537
 
@@ -64,12 +64,10 @@ def assign_shards(docs: DataFrame, shards: Mapping[str, int] | int, *, keys: Seq
     if isinstance(shards, int):
         shards = {f"shard-{n:05d}": 1 for n in range(shards)}
     names = list(shards)
-    keep = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
-    (s,) = fresh(keep, "table_slot")
-    table = docs.sparkSession.createDataFrame([(i, names[t]) for i, t in enumerate(fill_table(shards, prime))], f"`{s}` int, shard string")
-    placed = docs.select(*keep, slot([docs[k] for k in keys], prime).alias("slot"))
+    table = docs.sparkSession.createDataFrame([(i, names[t]) for i, t in enumerate(fill_table(shards, prime))], "s int, shard string")
+    placed = docs.select(given(docs, "slot", "shard").alias("given"), slot([column(k) for k in keys], prime).alias("slot"))
     # `prime` rows whatever the input
-    return placed.join(F.broadcast(table), F.col("slot") == F.col(s), "left").select(*keep, "slot", "shard")
+    return placed.join(F.broadcast(table), F.col("slot") == F.col("s"), "left").select("given.*", "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: Mapping[str, int] | int, *, keys: Sequence[str] = ("doc_id",), prime: int = PRIME, files_per_shard: int = 1) -> None:

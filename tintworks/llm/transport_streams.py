@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, given
 from .textkernel import utf8_views
 
 PACKET, BODY, SYNC = 188, 184, 0x47
@@ -220,6 +221,9 @@ def demux(stream: bytes) -> Stream:
             if length and length + 6 > len(unit):
                 out.errors.append(f"unit {k} of {pid} is short of {length + 6 - len(unit)} bytes")
             flags = unit[7] >> 6
+            if len(unit) < 9 + 5 * (flags >> 1) + 5 * (flags == 3):
+                out.errors.append(f"unit {k} of {pid} ends within its times")
+                continue
             pts = _read_time(unit[9:14]) if flags & 2 else None
             dts = _read_time(unit[14:19]) if flags == 3 else pts
             out.units.append(Unit(pid, unit[3], pts, dts, bool(random_access[at[first]]), int(at[first]), unit[9 + unit[8] : length + 6 if length else len(unit)]))
@@ -260,4 +264,4 @@ def read_media(media: Column) -> Column:
 
 def store_media(docs: DataFrame, *, text: str = "text", media: str = "media") -> DataFrame:
     """`docs` with a binary column `media` (a column of that name is replaced)."""
-    return docs.select(*[c for c in docs.columns if c.lower() != media.lower()], to_media(docs[text]).alias(media))
+    return docs.select(given(docs, media).alias("given"), to_media(column(text)).alias(media)).select("given.*", column(media))

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import column, given
 
 # Public suffixes of more than one label that registered domains stand under.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
@@ -119,15 +119,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], conf
     """
     config = config or ReputationConfig()
     added = ("host", "path", "rule", "verdict", "n_labelled", "bad_bound")
-    keep = [c for c in pages.columns if c.lower() not in added]
-    (i, h) = fresh(keep, "label_key", "host_key")
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias(i)).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select(i, (1 - F.col("y")).alias("bad"))
-    outcomes = pages.select(F.col(page_id).alias(i), url_host(F.col(url)).alias("host")).join(known, i, "left").select("host", "bad")
-    reputation = host_reputation(outcomes, config).select(F.col("host").alias(h), F.col("n").alias("n_labelled"), "bad_bound")
-    parsed = pages.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
+    known = labels.where(column(label).isin(0, 1)).groupBy(column(label_id).alias("i")).agg(F.min(column(label)).alias("y"), F.max(column(label)).alias("z")).where("y = z").select("i", (1 - F.col("y")).alias("bad"))
+    outcomes = pages.select(column(page_id).alias("i"), url_host(column(url)).alias("host")).join(known, "i", "left").select("host", "bad")
+    reputation = host_reputation(outcomes, config).select(F.col("host").alias("h"), F.col("n").alias("n_labelled"), "bad_bound")
+    parsed = pages.select(given(pages, *added).alias("given"), url_host(column(url)).alias("host"), url_path(column(url)).alias("path")).withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
     by_rule = F.coalesce(*[F.when(F.col("rule") == r.pattern, F.lit(r.verdict)) for r in rules], F.lit(None).cast("string"))
     by_host = F.when(F.col("bad_bound") > config.limit, F.lit("block")).otherwise(F.lit("allow"))
-    return parsed.join(reputation, F.col("host") == F.col(h), "left").select(*keep, "host", "path", "rule", F.coalesce(by_rule, by_host).alias("verdict"), "n_labelled", "bad_bound")
+    return parsed.join(reputation, F.col("host") == F.col("h"), "left").select("given.*", "host", "path", "rule", F.coalesce(by_rule, by_host).alias("verdict"), "n_labelled", "bad_bound")
 
 
 def oracle_sql(rules: Sequence[Rule], config: ReputationConfig | None = None) -> str:
