@@ -211,7 +211,8 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
     # rows that repeat an id and its text share a row_key, and any of them will do
     found = texts.join(small(wanted, "lines"), F.col("row_key") == F.col("wanted")).select("lines", _line_forms(F.col("text"), F.col("lines.place"), config).alias("items"))
     forms = found.select(F.explode(F.arrays_zip(F.col("lines.node").alias("node"), "items")).alias("s")).select("s.node", "s.items")
-    forms = durable(forms.dropDuplicates(["node"]))
+    repeated = not coded.groupBy("row_key").count().where("count > 1").isEmpty()
+    forms = durable(forms.dropDuplicates(["node"]) if repeated else forms)
     release(spark)
     labels = linked_components(members, forms, config.percent, lambda items: _form_sets(items, config.width))
     found = durable(thin(met.select("h1", "h2", "node").join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("h1", "h2", "comp")))
@@ -221,8 +222,20 @@ def _line_components(coded: DataFrame, texts: DataFrame, config: LineConfig) ->
 
 def _without(text: Column, places: Column) -> Column:
     """The text without the lines at `places` (null: none)."""
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(places, i))
-    return F.when(places.isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+    @F.arrow_udf("string")
+    def kernel(column: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for row, some in zip(column, gone):
+            if some.is_valid:
+                lines = row.as_buffer().to_pybytes().split(b"\n")
+                away = set(some.values.to_pylist())
+                out.append(b"\n".join([line for place, line in enumerate(lines) if place not in away]))
+            else:
+                out.append(row.as_buffer() if row.is_valid else None)
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    return kernel.asNondeterministic()(text, places)
 
 
 def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +262,7 @@ def dedup_lines(docs: DataFrame, config: LineConfig | None = None, *, doc_id: st
     # the first line of each component; of rows that repeat an id and its text, each keeps it
     stay = copies.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("d"), "d", "place", "row_key")).alias("s")).select(F.col("s.row_key").alias("k"), F.col("s.place").alias("p"))
     gone = copies.join(stay, (F.col("row_key") == F.col("k")) & (F.col("place") == F.col("p")), "left_anti")
-    by_doc = gone.groupBy("row_key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("row_key", "k")
+    by_doc = gone.groupBy("row_key").agg(F.collect_set("place").alias("gone")).withColumnRenamed("row_key", "k")
     whole = docs.select(given(docs, "n_lines", "n_removed", text).alias("given"), column(text).alias("text"), row_key(column(doc_id), column(text)).alias("row_key"))
     joined = whole.join(by_doc, F.col("row_key") == F.col("k"), "left")
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))

@@ -68,7 +68,8 @@ def bucket_members(postings: DataFrame) -> DataFrame:
     One shuffle by key serves the counts and the members.
     """
     dealt = postings.repartition("key")
-    several = dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select(F.col("key").alias("k"), "held")
+    # both need key and node, so that Spark deals them once
+    several = dealt.groupBy("key").agg(F.max("node").alias("any"), F.count("*").alias("held")).where("held > 1 and any is not null").select(F.col("key").alias("k"), "held")
     members = dealt.join(several.hint("shuffle_hash"), F.col("key") == F.col("k"))
     return members.groupBy("node").agg(F.sum("held").alias("rank"), F.collect_list("key").alias("keys"))  # a node has a key for each band
 
