@@ -232,7 +232,7 @@ def _without(text: Column, places: Column) -> Column:
                 away = set(some.values.to_pylist())
                 out.append(b"\n".join([line for place, line in enumerate(lines) if place not in away]))
             else:
-                out.append(row.as_buffer() if row.is_valid else None)
+                out.append(row.as_buffer().to_pybytes() if row.is_valid else None)
         return pa.array(out, pa.binary()).cast(pa.string())
 
     return kernel.asNondeterministic()(text, places)
