@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,13 +54,16 @@ def thin(frame: DataFrame) -> DataFrame:
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names."""
+    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names.
+
+    Only a session of one process (local[n], as in tests) may have none; it gets its own.
+    """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tintworks-checkpoints-"))
     return frame.checkpoint(eager=True)
 
 

@@ -21,16 +21,15 @@ whole; repeated rows give repeated results; an empty table gives an empty result
 Other columns of any name pass through, unless they have a result's name.
 
 Memory: texts are taken in slices of SLICE_BYTES (a longer text is one by itself),
-and a worker remembers words' ids as numbers, WORD_CACHE words and PIECE_CACHE ids
-at most (44 MB), and which pieces stay beside each other, STAY_CACHE pairs (45 MB).
+and a task remembers words' ids as numbers, WORD_CACHE words and PIECE_CACHE ids at
+most (24 MB), and which pieces stay beside each other, STAY_CACHE pairs (25 MB).
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from hashlib import blake2b
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +40,9 @@ from .common import column, given
 from .textkernel import span_hashes, utf8_views
 
 MARK = "▁"
-WORD_CACHE = 1_000_000
-PIECE_CACHE = 5_000_000
-STAY_CACHE = 400_000
+WORD_CACHE = 500_000
+PIECE_CACHE = 2_000_000
+STAY_CACHE = 200_000
 SLICE_BYTES = 1 << 21
 #: The state before a word's first character.
 START = -(1 << 40)
@@ -66,7 +65,6 @@ class PieceModel:
     byte_ids: tuple[int, ...]
     surface: tuple[bytes, ...]
     unknown: int
-    name: str = field(default="", compare=False)
 
     @staticmethod
     def load(path: str, kind: str | None = None) -> PieceModel:
@@ -75,8 +73,7 @@ class PieceModel:
 
         model = proto.ModelProto()
         with open(path, "rb") as f:
-            raw = f.read()
-        model.ParseFromString(raw)
+            model.ParseFromString(f.read())
         rules, trained = model.normalizer_spec, model.trainer_spec
         if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or trained.treat_whitespace_as_suffix:
             raise ValueError("only models that leave the text as it is, with marks before words, are supported")
@@ -95,7 +92,7 @@ class PieceModel:
             else:
                 surface.append(p.piece.replace(MARK, " ").encode() if p.type == 1 else b"")
         unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
-        return PieceModel(kind, {p: model.pieces[i].score for p, i in ids.items()}, ids, tuple(byte_ids), tuple(surface), unknown, f"{kind} {blake2b(raw).hexdigest()}")
+        return PieceModel(kind, {p: model.pieces[i].score for p, i in ids.items()}, ids, tuple(byte_ids), tuple(surface), unknown)
 
 
 def merge(text: str, scores: dict[str, float]) -> list[str]:
@@ -300,17 +297,6 @@ class Encoder:
         return self.decode_bytes(ids).decode("utf-8", "replace")[1:]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(model: PieceModel) -> Encoder:
-    """This worker's encoder, with what it has learned so far; one model's at a time."""
-    if not model.name or model.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model.name] = Encoder(model)
-    return _ENCODERS[model.name]
-
-
 def _slices(column: pa.Array) -> Iterator[list[bytes]]:
     texts, held = [], 0
     for view in utf8_views(column):
@@ -332,7 +318,7 @@ def encode_pieces(docs: DataFrame, model: PieceModel, *, text: str = "text") ->
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(held.value)
+        encoder = Encoder(held.value)
         for batch in batches:
             # a batch's results go slice by slice, so that no more is held than a slice's
             for texts in _slices(batch):
