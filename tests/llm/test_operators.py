@@ -125,7 +125,7 @@ def test_line_dedup_by_brute_force(spark, sf, documents):
     for d in documents:
         for place, line in enumerate(d["text"].split("\n")):
             words = WORD.findall(lower(line))
-            if len(words) >= 3:
+            if words:
                 places[" ".join(words)].append((d["doc_id"], place))
     sets = {f: frozenset(f[i : i + 8] for i in range(max(1, len(f) - 7))) for f in places}
     groups = collections.defaultdict(list)
@@ -247,11 +247,11 @@ def test_unigram_viterbi_by_brute_force(model):
 
     encoder, rng = sentencepieces.Encoder(toy), random.Random(0)
     words = {"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(200)}
-    encoder.learn(words)
-    names = list(scores)
-    for w in words:
-        s = encoder.slots[w]
-        found = [names[i] for i in encoder.flat[encoder.begins[s] : encoder.begins[s] + encoder.sizes[s]]]
+    order, names = sorted(words), list(scores)
+    flat, sizes = encoder.encode_words(order)
+    ends = dict(zip(order, np.cumsum(sizes)))
+    for w, size in zip(order, sizes):
+        found = [names[i] for i in flat[ends[w] - size : ends[w]]]
         assert abs(sum(scores[p] for p in found) - best(w)[0]) < 1e-9 and "".join(found) == w
 
 
@@ -301,6 +301,8 @@ def test_quality_rules_by_brute_force(spark, sf, documents):
             total += (x * np.log2(x / mid) if x else 0) + (y * np.log2(y / mid) if y else 0)
         return (max(total, 0) / 2) ** 0.5
 
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    limits = quality_rules.word_limits(docs, quality_rules.language_references(docs, config), config)
     for d in documents:
         r, (classes, common, n) = got[d["doc_id"]], own[d["doc_id"]]
         counts = base_counts(d["text"])
@@ -309,9 +311,10 @@ def test_quality_rules_by_brute_force(spark, sf, documents):
         reference = totals.get(d["lang"], totals[""])
         by_class = distance(classes, reference[0]) if sum(classes.values()) >= config.min_class_chars else None
         by_word = distance(common, reference[1]) if n >= config.min_hist_words else None
+        spread = next((x for (k, z), x in limits.items() if k == (d["lang"] if d["lang"] in quality_rules.COMMON_WORDS else "other") and n >= config.min_hist_words and z == int(np.floor(np.log2(n / config.min_hist_words)))), config.word_distance)
         for want, have in ((by_class, r["class_distance"]), (by_word, r["word_distance"])):
             assert (want is None) == (have is None) and (want is None or abs(want - have) < 1e-6)
-        assert r["kept"] == (not r["base_failed"] and (by_class or 0) <= config.class_distance and (by_word or 0) <= config.word_distance)
+        assert r["kept"] == (not r["base_failed"] and (by_class or 0) <= config.class_distance and (by_word or 0) <= min(config.word_distance, spread))
 
 
 def test_transport_streams(spark, sf, documents):
