@@ -1,6 +1,8 @@
 """Properties of the engine on small images, sample sets and problems, with numpy as the second opinion."""
 
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -31,6 +33,13 @@ def image(spark, width, height, pixel, image_id=1):
     return rgba_from_pixels(spark, [(image_id, width, height, [pixel(i % width, i // width) for i in range(width * height)])])
 
 
+def png(width, height):
+    """A small RGB file."""
+    rows = b"".join(b"\0" + b"".join(bytes([40 * x, 30 * y, 200]) for x in range(width)) for y in range(height))
+    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def halves(x, y):
     return (220, 30, 30) if x < 10 else (30, 60, 220)
 
@@ -174,12 +183,9 @@ def test_pipeline_end_to_end(spark):
 
 
 def test_files_and_pgm(spark, tmp_path):
-    import struct
-    import zlib
-
-    rows = b"".join(b"\0" + b"".join(bytes([40 * x, 30 * y, 200]) for x in range(3)) for y in range(2))
-    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
-    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    (tmp_path / "a.png").write_bytes(png(3, 2))
+    rgba = support_from_path(spark, str(tmp_path / "a.png"), PipelineConfig(sampling=UniformGrid(1))).pixels
+    assert np.allclose(rgba.orderBy("idx").toPandas()["lin_r"], prepare(image(spark, 3, 2, lambda x, y: (40 * x, 30 * y, 200))).orderBy("idx").toPandas()["lin_r"])
     support = support_from_path(spark, str(tmp_path / "a.png"), PipelineConfig(sampling=UniformGrid(1)))
     assert support.pixels.count() == 6 and support.samples.count() == 6
     luma = spark.createDataFrame([(1, 2, 1, 0, 7), (1, 2, 1, 1, 255)], "image_id bigint, width int, height int, idx bigint, luma int")
@@ -371,3 +377,106 @@ def test_stream_of_pixels(spark, tmp_path):
     query = stream_rgba(spark.readStream.schema(rgba.schema).parquet(str(tmp_path / "in")), lambda s, e: seen.append(s.samples.count())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert seen and sum(seen) > 0
+
+
+def test_stream_of_files(spark, tmp_path):
+    from tintworks.streaming.images import stream_files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(png(3, 2))
+    seen = []
+    query = stream_files(spark, str(tmp_path / "in"), lambda s, e: seen.append(s.samples.count()), PipelineConfig(sampling=UniformGrid(1))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert seen == [6]
+
+
+# ---- what the review of round 1 asked for
+
+
+def test_pipeline_raises(spark):
+    rgba = rgba_from_pixels(spark, [(1, 2, 1, [(9, 9, 9), (200, 0, 0)]), (2, 1, 1, [(1, 2, 3, 0)])])
+    with pytest.raises(E.NoValidPixels):
+        support_from_rgba(rgba)
+    loose = support_from_rgba(rgba, strict=False)
+    assert [r["image_id"] for r in loose.samples.select("image_id").distinct().collect()] == [1] and loose.diagnostics.count() == 2
+    loose.close()
+    assert not loose.pixels.is_cached and not loose.samples.is_cached
+    with pytest.raises(E.InvalidConfig):
+        support_from_rgba(image(spark, 4, 4, halves), PipelineConfig(export=ExportConfig(min_cluster_weight=2.0)))
+
+
+def test_given_representatives(spark):
+    rgba = rgba_from_pixels(spark, [(1, 3, 1, [(9, 9, 9), (200, 0, 0), (1, 1, 1, 0)])])
+    table = lambda *idx: spark.createDataFrame([(1, n, i) for n, i in enumerate(idx)], "image_id bigint, rep_ord int, pixel_index bigint")
+    with support_from_rgba(rgba, PipelineConfig(sampling=table(1, 0, 1))) as support:
+        assert support.samples.count() == 2
+    for idx in (2, 7):
+        with pytest.raises(E.InvalidRepresentative):
+            support_from_rgba(rgba, PipelineConfig(sampling=table(0, idx)))
+
+
+def test_non_finite_saliency_raises(spark):
+    pixels = prepare(image(spark, 3, 1, halves)).withColumn("l", F.when(F.col("idx") == 1, F.lit(float("nan"))).otherwise(F.col("l")))
+    with pytest.raises(E.NumericInstability), E.translated():
+        compute_saliency(pixels, GlobalContrast(robust=False)).collect()
+
+
+def test_random_keys(spark):
+    flat = prepare(image(spark, 16, 16, halves).unionByName(image(spark, 16, 16, halves, 2)))
+    for seed in (90000, 99999, None):
+        rows = random_uniform(flat, RandomUniform(20, seed)).collect()
+        chosen = [{r["pixel_index"] for r in rows if r["image_id"] == i} for i in (1, 2)]
+        assert len(chosen[0]) == len(chosen[1]) == 20 and chosen[0] != chosen[1]
+    assert stratified(flat, Stratified(2, 2, 64, 1)).groupBy("image_id").count().where("count = 256").count() == 2
+
+
+def test_events_are_read_whole(spark, tmp_path):
+    from tintworks.sources.tables import rgba_from_events
+
+    spark.range(1100).selectExpr("id as event_id", "cast(id as double) as value", "'click' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    rows = rgba_from_events(spark, str(tmp_path)).toPandas()
+    assert len(rows) == 1024 + 96 and (rows["a"] == 255).sum() == 1100
+    last = rows[rows.image_id == 1].sort_values("idx")
+    assert list(last["idx"]) == list(range(96)) and set(last["height"]) == {3}
+
+
+def test_cap_from_samples(spark):
+    config = PipelineConfig(sampling=UniformGrid(2), cap=CapBuilder(4, 6, from_samples=True))
+    with support_from_rgba(image(spark, 12, 4, halves), config) as support:
+        grid, meta = build_cap(support.samples, config.cap)
+        key = lambda g: sorted(map(tuple, g.collect()))
+        assert key(grid) == key(support.cap_grid) and key(meta) == key(support.cap_meta)
+
+
+def test_texts_of_problems(tmp_path, spark):
+    from tintworks.serial import dumps, loads
+
+    p = problem()
+    q = loads(dumps(p))
+    assert np.array_equal(p.samples, q.samples) and (p.slots, p.terms, p.cap, p.config) == (q.slots, q.terms, q.cap, q.config)
+    u = np.linspace(-1, 1, 3 * len(p.slots))
+    assert ArrayObjective(p).total(u) == ArrayObjective(q).total(u)
+    for config in (PipelineConfig(sampling=FarthestPoint(3, 2, 0.5), saliency=LocalContrast(), cap=CapBuilder()), CapLookup("biased", 0.3, (0.1, 0.9))):
+        assert loads(dumps(config)) == config
+    table = spark.createDataFrame([(1, 0.5, [1.5, 2.0])], "k int, v double, parts array<double>")
+    again = loads(dumps({"t": table}), spark)["t"]
+    assert again.schema == table.schema and again.collect() == table.collect()
+    for bad in ('{"kind": "os.system"}', '{"kind": "Slot", "fields": {"name": "x"}}', "[1"):
+        with pytest.raises(E.InvalidConfig):
+            loads(bad)
+
+
+def test_hue_contains():
+    from tintworks.problem import hue_contains
+
+    arc = HueArc(6.0, 1.0)
+    assert hue_contains(None, 9.0) and hue_contains(arc, 0.5) and hue_contains(arc, 6.1 - 2 * math.pi) and not hue_contains(arc, 3.0) and not hue_contains(HueArc(1.0, 0.0), 1.0)
+
+
+def test_best_ranks(spark, sf):
+    from tintworks.operators.seeds import rank_samples
+    from tintworks.queries import SLOTS, lab_from_embeddings
+
+    lab = lab_from_embeddings(spark, sf).select(F.col("vec_id").alias("sample_ord"), "l", "a", "b", F.lit(1.0).alias("weight"))
+    rows = lambda f: sorted((r["slot"], r["rank"], r["sample_ord"]) for r in f.collect())
+    assert rows(rank_samples(lab, SLOTS, most=3)) == [r for r in rows(rank_samples(lab, SLOTS)) if r[1] <= 3]

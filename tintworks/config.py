@@ -72,7 +72,7 @@ class Stratified:
     tiles_x: int
     tiles_y: int
     per_tile: int
-    seed: int = 0
+    seed: int | None = None
 
     def validate(self) -> None:
         require(min(self.tiles_x, self.tiles_y, self.per_tile) > 0, "tiles and per_tile must be above 0")
@@ -81,7 +81,7 @@ class Stratified:
 @dataclass(frozen=True)
 class RandomUniform:
     count: int
-    seed: int = 0
+    seed: int | None = None
 
     def validate(self) -> None:
         require(self.count > 0, "count must be above 0")
@@ -92,7 +92,7 @@ class FarthestPoint:
     count: int
     candidate_stride: int = 1
     saliency_bias: float = 0.0
-    seed: int = 0
+    seed: int | None = None
 
     def validate(self) -> None:
         require(self.count > 0 and self.candidate_stride > 0, "count and candidate_stride must be above 0")

@@ -71,6 +71,6 @@ def export_samples(pixels: DataFrame, reps: DataFrame, config: ExportConfig | No
 
 
 def check_samples(samples: DataFrame, images: DataFrame) -> None:
-    """Raise if an image is left without samples."""
+    """Raise if an image is left without samples: all its clusters were below the threshold."""
     for row in images.select("image_id").distinct().join(samples, "image_id", "left_anti").limit(1).collect():
         raise InvalidConfig(f"all clusters of image {row['image_id']} were filtered out")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import GlobalContrast, LocalContrast, NoSaliency
+from ..errors import NumericInstability, raising
 from ..functions.numeric import clamp01, distance2
 
 
@@ -48,6 +49,9 @@ def normalise(pixels: DataFrame, raw: str, robust: bool, to: str = "saliency") -
     span = F.col("hi") - F.col("lo")
     scaled = F.when(F.abs(span) <= 1e-12, F.lit(1.0)).otherwise(clamp01((F.col(raw) - F.col("lo")) / F.when(F.abs(span) <= 1e-12, 1.0).otherwise(span)))
     joined = pixels.join(ends, "image_id", "left")
+    # a value that is no number makes an end of its image no number
+    sound = (F.abs(F.col("lo")) < float("inf")) & (F.abs(F.col("hi")) < float("inf")) & (F.abs(F.col(raw)) < float("inf"))
+    scaled = F.when(sound, scaled).otherwise(raising(NumericInstability, "saliency of image ", F.col("image_id"), " is not finite").cast("double"))
     return joined.withColumn(to, F.when(F.col("valid"), scaled).otherwise(0.0)).drop("lo", "hi")
 
 

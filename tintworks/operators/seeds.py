@@ -96,15 +96,19 @@ def ranked_samples(problem: Problem, at: int) -> np.ndarray:
     return fit[np.argsort(-score[fit], kind="stable")]
 
 
-def rank_samples(samples: DataFrame, slots: tuple[Slot, ...], *, key: str = "sample_ord") -> DataFrame:
-    """(slot, rank, key, score) of the samples that fit each slot, as a window over a table of samples."""
+def rank_samples(samples: DataFrame, slots: tuple[Slot, ...], *, key: str = "sample_ord", most: int | None = None) -> DataFrame:
+    """(slot, rank, key, score) of the samples that fit each slot, as a window over a table of samples.
+
+    With `most`, the best of each slot only: tasks then cut their part before the shuffle.
+    """
     from ..functions.backends import COLUMNS
 
     lab = tuple(F.col(c) for c in "lab")
     polar = samples.select(key, *"lab", "weight", *[x.alias(n) for n, x in zip(("lch_l", "lch_c", "lch_h"), oklab_to_oklch(lab))])
     rows = [F.struct(F.lit(i).alias("slot"), _fits(s, F.col("l"), F.col("lch_h"), COLUMNS).alias("fits"), _score(s, F.col("l"), F.col("lch_c"), F.col("lch_h"), lab, F.col("weight"), COLUMNS).alias("score")) for i, s in enumerate(slots)]
     scored = polar.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*").where("fits")
-    return scored.select("slot", F.row_number().over(W.partitionBy("slot").orderBy(F.desc("score"), key)).alias("rank"), key, "score")
+    ranked = scored.select("slot", F.row_number().over(W.partitionBy("slot").orderBy(F.desc("score"), key)).alias("rank"), key, "score")
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
 def near_samples(problem: Problem, u: np.ndarray, variant: int) -> np.ndarray:

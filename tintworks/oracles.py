@@ -45,11 +45,13 @@ def smooth(x: str) -> str:
 
 LINEAR = "(CASE WHEN {v} / 255.0::DOUBLE <= 0.04045 THEN {v} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({v} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
 
-RGBA = """heights AS (SELECT event_id // 1024 AS image_id, (count(*) // 32)::INTEGER AS height FROM events GROUP BY 1),
+RGBA = """sizes AS (SELECT event_id // 1024 AS image_id, max(event_id % 1024) + 1 AS filled FROM events GROUP BY 1),
+heights AS (SELECT image_id, filled, ((filled + 31) // 32)::INTEGER AS height FROM sizes),
 rgba AS (SELECT event_id // 1024 AS image_id, 32 AS width, height, event_id % 1024 AS idx, (event_id % 1024) % 32 AS x, (event_id % 1024) // 32 AS y,
   round(value * 100)::BIGINT % 256 AS r, (event_id * 91 + 7) % 256 AS g, (event_id * 13 + 101) % 256 AS b,
   CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 128 ELSE 255 END AS a
-  FROM events JOIN heights ON event_id // 1024 = image_id WHERE (event_id % 1024) // 32 < height)"""
+  FROM events JOIN heights ON event_id // 1024 = image_id
+  UNION ALL SELECT image_id, 32, height, i, i % 32, i // 32, 0, 0, 0, 0 FROM (SELECT image_id, height, unnest(range(filled, height * 32)) AS i FROM heights))"""
 
 
 def pixels(background: tuple[int, int, int] = (255, 255, 255), weighted: bool = False) -> str:
@@ -96,7 +98,7 @@ down AS (SELECT p.image_id, p.idx, {again}, sum(q.s_n) AS t_n
 blurred AS (SELECT p.*, {out} FROM pixels p JOIN down USING (image_id, idx))"""
 
 
-KEY = "((idx + {seed} * 40503 + 1) % 4294967296) * 2654435761 % 4294967296"
+KEY = "('0x' || substr(md5('{seed}:' || image_id || ':' || idx), 1, 15))::BIGINT"
 
 
 def grid_cells(step: int) -> str:

@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
-from ..operators.assignment import export_samples
+from ..errors import translated
+from ..operators.assignment import check_samples, export_samples
 from ..operators.cap import build_cap
-from ..operators.preprocess import prepare
+from ..operators.preprocess import check_images, prepare
 from ..operators.saliency import compute_saliency, saliency_stats
-from ..operators.sampling import select_representatives
+from ..operators.sampling import check_representatives, select_representatives
 from ..problem import weighted_samples
 from ..sources.images import images_to_rgba, read_images
 
 
 @dataclass(frozen=True)
 class Support:
-    """What a set of images gives: samples, caps (None unless asked for) and diagnostics, keyed by image_id."""
+    """What a set of images gives: samples, caps (None unless asked for) and diagnostics, keyed by image_id.
+
+    Pixels and samples are kept, on executors' disks if need be, until `close` or the end of a `with` block.
+    """
 
     pixels: DataFrame
     reps: DataFrame
@@ -30,21 +34,49 @@ class Support:
     cap_meta: DataFrame | None
     diagnostics: DataFrame
 
+    def close(self) -> None:
+        """Free what is kept; the tables stay usable and are computed again."""
+        self.samples.unpersist()
+        self.pixels.unpersist()
+
+    def __enter__(self) -> Support:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
+
+def support_from_rgba(rgba: DataFrame, config: PipelineConfig | None = None, *, strict: bool = True) -> Support:
+    """Support tables of all images in `rgba`.
 
-def support_from_rgba(rgba: DataFrame, config: PipelineConfig | None = None) -> Support:
+    Strict, the stages run at once and an image without area, valid pixels,
+    representatives or samples raises the engine's error.  Otherwise nothing runs
+    yet, and such an image has rows in `pixels` and `diagnostics` only.
+    """
     config = config or PipelineConfig()
     # read by every later stage; a lost part is computed again from its image
     pixels = compute_saliency(prepare(rgba, config.preprocess), config.saliency).persist(StorageLevel.MEMORY_AND_DISK)
     reps = select_representatives(pixels, config.sampling)
-    samples = export_samples(pixels, reps, config.export)
+    samples = export_samples(pixels, reps, config.export).persist(StorageLevel.MEMORY_AND_DISK)
     grid = meta = None
     if config.cap is not None:
         grid, meta = build_cap(samples if config.cap.from_samples else pixels.where("valid"), config.cap)
-    return Support(pixels, reps, samples, grid, meta, diagnostics(rgba, pixels, reps, samples))
+    support = Support(pixels, reps, samples, grid, meta, diagnostics(rgba, pixels, reps, samples))
+    if strict:
+        try:
+            with translated():
+                check_images(pixels)
+                if isinstance(config.sampling, DataFrame):
+                    check_representatives(pixels, reps)
+                check_samples(samples, pixels)
+        except BaseException:
+            support.close()
+            raise
+    return support
 
 
-def support_from_path(spark: SparkSession, path: str | list[str], config: PipelineConfig | None = None) -> Support:
-    return support_from_rgba(images_to_rgba(read_images(spark, path)), config)
+def support_from_path(spark: SparkSession, path: str | list[str], config: PipelineConfig | None = None, *, strict: bool = True) -> Support:
+    return support_from_rgba(images_to_rgba(read_images(spark, path)), config, strict=strict)
 
 
 def diagnostics(rgba: DataFrame, pixels: DataFrame, reps: DataFrame, samples: DataFrame) -> DataFrame:

@@ -1,43 +1,57 @@
 """Image sources and sinks.
 
 Files are read by Spark's own image source (any store Spark reads, one task for a
-group of files); pixels become rows by exploding the decoded bytes in a projection
-over binary slices, without Python.
+group of files), once; decoded bytes become pixel rows in an Arrow kernel, some
+rows of an image at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EmptyImage, ImageDecode
+from ..errors import EmptyImage, ImageDecode, raising
 from ..operators.preprocess import RGBA_SCHEMA
 
 SAMPLES_SCHEMA = "image_id bigint, sample_ord int, l double, a double, b double, weight double, saliency double"
 
 
+#: Pixels of one Arrow batch; a line of an image is never split.
+BATCH_PIXELS = 1 << 18
+
+
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Decoded images; a file that can't be decoded is an error, and never dropped."""
+    """Decoded images; a file that can't be decoded fails the job that meets it (ImageDecode), and is never dropped."""
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    bad = images.where("nChannels <= 0 or width <= 0 or height <= 0").select("origin").limit(1).collect()
-    if bad:
-        raise ImageDecode(bad[0]["origin"])
-    return images
+    readable = (F.col("nChannels") > 0) & (F.col("width") > 0) & (F.col("height") > 0)
+    # the check decides a column that every reader needs, so it is not optimised away
+    return images.withColumn("nChannels", F.when(readable, F.col("nChannels")).otherwise(raising(ImageDecode, F.col("origin")).cast("int")))
+
+
+def _pixel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            image_id, width, height, channels = (batch.column(k)[at].as_py() for k in range(4))
+            data = np.frombuffer(batch.column(4)[at].as_buffer(), np.uint8).reshape(height, width, channels)
+            lines = max(1, BATCH_PIXELS // width)
+            for y in range(0, height, lines):
+                part = data[y : y + lines].reshape(-1, channels).astype(np.int32)
+                idx = np.arange(y * width, y * width + len(part), dtype=np.int64)
+                grey = part[:, 0]
+                r, g, b = (grey, grey, grey) if channels == 1 else (part[:, 2], part[:, 1], grey)
+                a = part[:, 3] if channels == 4 else np.full(len(part), 255, np.int32)
+                same = lambda v, t: pa.array(np.full(len(part), v), t)  # noqa: B023, E731
+                columns = [same(image_id, pa.int64()), same(width, pa.int32()), same(height, pa.int32()), pa.array(idx), pa.array((idx % width).astype(np.int32)), pa.array((idx // width).astype(np.int32)), *map(pa.array, (r, g, b, a))]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_id", "width", "height", "idx", "x", "y", "r", "g", "b", "a"])
 
 
 def images_to_rgba(images: DataFrame) -> DataFrame:
     """rgba rows from image source rows (grey, BGR or BGRA bytes); image_id is a hash of the origin."""
-    at = F.col("idx") * F.col("nChannels")
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), (at + k + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    rows = images.select(F.xxhash64("origin").alias("image_id"), "width", "height", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("idx"))
-    grey = F.col("nChannels") == 1
-    return rows.select(
-        "image_id", "width", "height", F.col("idx").cast("bigint").alias("idx"), (F.col("idx") % F.col("width")).alias("x"), F.floor(F.col("idx") / F.col("width")).cast("int").alias("y"),
-        F.when(grey, byte(0)).otherwise(byte(2)).alias("r"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"),
-        F.when(F.col("nChannels") == 4, byte(3)).otherwise(255).alias("a"),
-    )
+    return images.select(F.xxhash64("origin").alias("image_id"), "width", "height", "nChannels", "data").mapInArrow(_pixel_rows, RGBA_SCHEMA)
 
 
 def rgba_from_pixels(spark: SparkSession, images: Iterable[tuple[int, int, int, Sequence]]) -> DataFrame:

@@ -10,20 +10,23 @@ IMAGE_PIXELS = 1024
 
 
 def rgba_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image for every 1,024 event ids, 32 pixels wide; rows that aren't full are left out.
+    """An image for every 1,024 event ids, 32 pixels wide; a last line that isn't full ends in transparent black.
 
-    Only whole rows of event ids count, so `rgba` is a projection of the scan but
-    for one small aggregation that gives each image its height.
+    `rgba` is a projection of the scan but for one small aggregation that gives each
+    image its height, and the padding made from it.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", "event_type")
     image, idx = F.floor(F.col("event_id") / IMAGE_PIXELS), F.col("event_id") % IMAGE_PIXELS
-    heights = events.groupBy(image.alias("image_id")).agg(F.floor(F.count("*") / WIDTH).cast("int").alias("height"))
+    sizes = events.groupBy(image.alias("image_id")).agg((F.max(idx) + 1).alias("filled")).withColumn("height", F.ceil(F.col("filled") / WIDTH).cast("int"))
     alpha = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 128).otherwise(255)
     pixels = events.select(
-        image.alias("image_id"), idx.alias("idx"), (idx % WIDTH).cast("int").alias("x"), F.floor(idx / WIDTH).cast("int").alias("y"),
+        image.alias("image_id"), idx.alias("idx"),
         (F.round(F.col("value") * 100).cast("bigint") % 256).cast("int").alias("r"), ((F.col("event_id") * 91 + 7) % 256).cast("int").alias("g"), ((F.col("event_id") * 13 + 101) % 256).cast("int").alias("b"), alpha.alias("a"),
-    )
-    return pixels.join(heights, "image_id").where(F.col("y") < F.col("height")).select("image_id", F.lit(WIDTH).alias("width"), "height", "idx", "x", "y", "r", "g", "b", "a")
+    ).join(sizes.drop("filled"), "image_id")
+    short = sizes.where(F.col("filled") < F.col("height") * WIDTH)
+    padding = short.select("image_id", F.explode(F.sequence(F.col("filled"), F.col("height").cast("bigint") * WIDTH - 1)).alias("idx"), *[F.lit(0).alias(c) for c in "rgba"], "height")
+    rows = pixels.unionByName(padding)
+    return rows.select("image_id", F.lit(WIDTH).alias("width"), "height", "idx", (F.col("idx") % WIDTH).cast("int").alias("x"), F.floor(F.col("idx") / WIDTH).cast("int").alias("y"), "r", "g", "b", "a")
 
 
 def lab_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

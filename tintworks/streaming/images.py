@@ -10,19 +10,30 @@ from ..config import PipelineConfig
 from ..plans.pipeline import Support, support_from_path, support_from_rgba
 
 
+FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _give(support: Support, sink: Callable[[Support, int], None], epoch: int) -> None:
+    # what a micro-batch keeps is freed with it
+    with support:
+        sink(support, epoch)
+
+
 def stream_rgba(rgba: DataFrame, sink: Callable[[Support, int], None], config: PipelineConfig | None = None):
     """A writer for a stream of rgba rows in which an image never spans micro-batches."""
-    return rgba.writeStream.foreachBatch(lambda batch, epoch: sink(support_from_rgba(batch, config), epoch))
+    return rgba.writeStream.foreachBatch(lambda batch, epoch: None if batch.isEmpty() else _give(support_from_rgba(batch, config), sink, epoch))
+
 
+def stream_files(spark: SparkSession, path: str, sink: Callable[[Support, int], None], config: PipelineConfig | None = None, *, files_at_once: int = 1000):
+    """A writer for image files as they arrive in a folder.  Images are independent, so no state is kept.
 
-def stream_files(spark: SparkSession, path: str, sink: Callable[[Support, int], None], config: PipelineConfig | None = None):
-    """A writer for image files as they arrive in a folder.  Images are independent, so no state is kept."""
-    files = spark.readStream.format("binaryFile").load(path).select("path")
+    Only paths pass through the driver, at most `files_at_once` in a micro-batch; files are read by executors.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILES_SCHEMA).option("maxFilesPerTrigger", files_at_once).load(path).select("path")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        # the paths of one micro-batch, as many as the source admits
         paths = [r["path"] for r in batch.collect()]
         if paths:
-            sink(support_from_path(spark, paths, config), epoch)
+            _give(support_from_path(batch.sparkSession, paths, config), sink, epoch)
 
     return files.writeStream.foreachBatch(each)
