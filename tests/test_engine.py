@@ -292,8 +292,14 @@ def test_columns_and_arrays_score_alike(spark, sf):
     few = candidates(spark, sf).limit(40)
     latents = {r["cand_id"]: np.array(r["latent"]) for r in few.collect()}
     objective = ArrayObjective(p)
-    for r in evaluate_totals(few, p).collect():
-        assert abs(r["objective"] - objective.total(latents[r["cand_id"]])) < 1e-9
+    for native in (False, True):
+        for r in evaluate_totals(few, p, native=native).collect():
+            assert abs(r["objective"] - objective.total(latents[r["cand_id"]])) < 1e-9
+    ours, theirs = (evaluate_terms(few, p, native=native).orderBy("cand_id", "term_ord").collect() for native in (False, True))
+    assert len(ours) == len(theirs) == 40 * (len(p.terms) + 1)
+    for x, y in zip(ours, theirs):
+        assert x[:3] == y[:3] and len(x["components"]) == len(y["components"])
+        assert np.allclose([x["raw"], x["weighted"], *x["components"]], [y["raw"], y["weighted"], *y["components"]], atol=1e-9)
     one = few.limit(1)
     g = {r["dim"]: r["gradient"] for r in finite_difference_gradient(one, p).collect()}
     want = objective.gradient(latents[one.first()["cand_id"]])
@@ -480,3 +486,15 @@ def test_best_ranks(spark, sf):
     lab = lab_from_embeddings(spark, sf).select(F.col("vec_id").alias("sample_ord"), "l", "a", "b", F.lit(1.0).alias("weight"))
     rows = lambda f: sorted((r["slot"], r["rank"], r["sample_ord"]) for r in f.collect())
     assert rows(rank_samples(lab, SLOTS, most=3)) == [r for r in rows(rank_samples(lab, SLOTS)) if r[1] <= 3]
+
+
+def test_scores_of_odd_candidates(spark):
+    p = problem("cover", "contrast")
+    u = [0.1 * i for i in range(3 * len(p.slots))]
+    made = lambda *rows: spark.createDataFrame(list(rows), "cand_id bigint, latent array<double>")
+    got = {r["cand_id"]: r["objective"] for r in evaluate_totals(made((1, u), (2, None), (3, [*u, 9.0])), p).collect()}
+    assert got[2] is None and got[1] == got[3] == ArrayObjective(p).total(np.array(u))
+    assert evaluate_totals(made((1, u)).limit(0), p).count() == 0 and evaluate_terms(made((1, u)).limit(0), p).collect() == []
+    for bad in ([1.0], [float("nan"), *u[1:]]):
+        with pytest.raises(E.NumericInstability), E.translated():
+            evaluate_totals(made((1, bad)), p).collect()

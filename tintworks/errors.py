@@ -82,7 +82,7 @@ def translated():
     except TintError:
         raise
     except Exception as failed:
-        found = re.search(r"tintworks\.(\w+): ([^\n]*)", str(failed))
+        found = re.search(r"tintworks\.(?:errors\.)?(\w+): ([^\n]*)", str(failed))
         kind = globals().get(found.group(1)) if found else None
         if not (isinstance(kind, type) and issubclass(kind, TintError)):
             raise

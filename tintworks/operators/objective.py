@@ -3,6 +3,10 @@
 A problem is small (slots, terms, hundreds of samples, a cap of some thousand
 cells) and candidates may be many, so the problem's numbers travel with the plan
 and every candidate is scored within its row: no join on candidates, no shuffle.
+
+Sums over samples would be higher-order functions in Catalyst, which are interpreted
+for every element; so scores come from the same formulas over arrays, a batch of
+candidates at a time.  `native` asks for the column expressions instead.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,24 +90,66 @@ def _soft_caps(problem: Problem, palette, o):
             yield f"soft_cap/{slot.name}", slot.cap_weight, pseudo_huber(over, 0.02, o), over, relaxed
 
 
-def evaluate_terms(candidates: DataFrame, problem: Problem, *, key: str = "cand_id") -> DataFrame:
+#: Numbers (candidates x samples) that one step of array scoring holds for each operation.
+SCORED_AT_ONCE = 1 << 20
+
+
+def _per_latent(problem: Problem, width: int, measure) -> Column:
+    """A column function of a latent array: `width` numbers of each candidate, null for a null latent.
+
+    `measure` takes the objective and a matrix of latents and gives a matrix with a row for each.
+    """
+    dims, step = latent_dim(len(problem.slots)), max(1, SCORED_AT_ONCE // max(1, len(problem.samples)))
+
+    @F.arrow_udf("array<double>")
+    def kernel(latents: pa.Array) -> pa.Array:
+        objective, known = ArrayObjective(problem), latents.is_valid().to_numpy(zero_copy_only=False)
+        given = latents.drop_null()
+        sizes = given.value_lengths().to_numpy()
+        if (sizes < dims).any():
+            raise NumericInstability(f"a latent vector needs {dims} numbers")
+        flat = given.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.cumsum(sizes) - sizes
+        table = flat[starts[:, None] + np.arange(dims)] if len(starts) else np.zeros((0, dims))
+        parts = [np.asarray(measure(objective, table[at : at + step]), dtype=np.float64).reshape(-1, width) for at in range(0, len(table), step)]
+        values = np.concatenate([np.zeros((0, width)), *parts])
+        offsets = np.concatenate([[0], np.cumsum(known * width)]).astype(np.int32)
+        mask = pa.array(~known) if not known.all() else None
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=mask)
+
+    return kernel
+
+
+def evaluate_terms(candidates: DataFrame, problem: Problem, *, key: str = "cand_id", native: bool = False) -> DataFrame:
     """term_eval(key, term_ord, name, raw, weighted, components)."""
-    o, palette = ColumnOps("_samples", "_grid"), _palette(problem)
-    rows = []
-    for n, t in enumerate(problem.terms):
-        raw, parts = t.term.evaluate(palette, o)
-        rows.append((n, t.label, raw, t.weight, parts))
-    for n, (name, weight, raw, over, relaxed) in enumerate(_soft_caps(problem, palette, o)):
-        rows.append((len(problem.terms) + n, name, raw, weight, [over, relaxed]))
-    wide = decode_candidates(candidates, problem)
-    if not rows:
+    if native:
+        o, palette = ColumnOps("_samples", "_grid"), _palette(problem)
+        scores = [(*t.term.evaluate(palette, o), t.weight, t.label) for t in problem.terms]
+        scores += [(raw, [over, relaxed], weight, name) for name, weight, raw, over, relaxed in _soft_caps(problem, palette, o)]
+        wide = decode_candidates(candidates, problem)
+    else:
+        widths = [w for _, w in ArrayObjective(problem).parts(np.zeros((1, latent_dim(len(problem.slots)))))]
+        labels = [(t.label, t.weight) for t in problem.terms] + [(f"soft_cap/{s.name}", s.cap_weight) for s in problem.slots if s.cap_policy == "soft"]
+        measured = _per_latent(problem, sum(widths), lambda objective, u: np.concatenate([m for m, _ in objective.parts(u)], axis=1))
+        wide = candidates.select(key, measured("latent").alias("_m")) if widths else candidates
+        firsts = np.cumsum([1, *widths])
+        scores = [(F.element_at("_m", int(f)), F.slice("_m", int(f) + 1, int(w) - 1), weight, label) for f, w, (label, weight) in zip(firsts, widths, labels)]
+    if not scores:
         return wide.select(key, F.lit(0).alias("term_ord"), F.lit("").alias("name"), F.lit(0.0).alias("raw"), F.lit(0.0).alias("weighted"), F.array().cast("array<double>").alias("components")).limit(0)
-    made = [F.struct(F.lit(n).alias("term_ord"), F.lit(name).alias("name"), raw.alias("raw"), (raw * weight).alias("weighted"), F.array(*parts).cast("array<double>").alias("components")) for n, name, raw, weight, parts in rows]
+    as_array = lambda parts: parts if isinstance(parts, Column) else F.array(*parts)
+    made = [F.struct(F.lit(n).alias("term_ord"), F.lit(name).alias("name"), raw.alias("raw"), (raw * weight).alias("weighted"), as_array(parts).cast("array<double>").alias("components")) for n, (raw, parts, weight, name) in enumerate(scores)]
     return wide.select(key, F.explode(F.array(*made)).alias("t")).select(key, "t.*")
 
 
-def evaluate_totals(candidates: DataFrame, problem: Problem, *, key: str = "cand_id") -> DataFrame:
-    """(key, objective): the weighted sum of all terms and soft caps, within the candidate's row."""
+def evaluate_totals(candidates: DataFrame, problem: Problem, *, key: str = "cand_id", native: bool = False) -> DataFrame:
+    """(key, objective): the weighted sum of all terms and soft caps, within the candidate's row.
+
+    A sum that isn't finite fails the job with NumericInstability; `native` leaves
+    that to `check_finite`.
+    """
+    if not native:
+        totals = _per_latent(problem, 1, lambda objective, u: objective.totals(u)[:, None])
+        return candidates.select(key, F.element_at(totals("latent"), 1).alias("objective"))
     o, palette = ColumnOps("_samples", "_grid"), _palette(problem)
     total = F.lit(0.0)
     for t in problem.terms:
@@ -145,6 +192,13 @@ class ArrayObjective:
     def palette(self, latents: np.ndarray) -> list[SimpleNamespace]:
         return decode_palette(self.problem.slots, list(np.atleast_2d(latents).T), self.problem.cap, self.problem.config.cap_lookup, self.o)
 
+    def parts(self, latents: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """For each term and soft cap a matrix of raw score and components, and its width."""
+        palette, n = self.palette(latents), len(np.atleast_2d(latents))
+        scores = [(raw, *more) for raw, more in (t.term.evaluate(palette, self.o) for t in self.problem.terms)]
+        scores += [(raw, over, relaxed) for _, _, raw, over, relaxed in _soft_caps(self.problem, palette, self.o)]
+        return [(np.stack([np.broadcast_to(np.asarray(v, dtype=np.float64), n) for v in score], axis=1), len(score)) for score in scores]
+
     def totals(self, latents: np.ndarray) -> np.ndarray:
         palette = self.palette(latents)
         total = np.zeros(len(np.atleast_2d(latents)))
